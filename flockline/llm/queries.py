@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import density_html, mcd, mixing, ordinal, rendezvous, scaled_sketch, urlglob, wordbpe
+from flockline.llm import density_html, mcd, mixing, ordinal, rendezvous, scaled_sketch, segjoin, urlglob, wordbpe
 from flockline.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density_html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.filtered(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_html_extraction": op8_html_extraction,
+        "op9_ngram_join": op9_ngram_join,
         "op10_url_filters": op10_url_filters,
     }
 
