@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockline.llm import density_html, mcd, mixing, ordinal, rendezvous, scaled_sketch, segjoin, urlglob, wordbpe
+from flockline.llm import density_html, mcd, mixing, ordinal, pitman_yor, rendezvous, scaled_sketch, segjoin, urlglob, wordbpe
 from flockline.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.scored(docs, ordinal.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density_html.extracted(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_html_extraction": op8_html_extraction,
         "op9_ngram_join": op9_ngram_join,
         "op10_url_filters": op10_url_filters,
