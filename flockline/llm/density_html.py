@@ -70,7 +70,6 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
     root = Node("html", None)
     nodes, stream, at, place = [root], [], root, 0
     articles = 0  # open article and main elements
-    suspects: list[Node] = []  # dropped for a mark of class or id only
     while True:
         m = TOKEN.search(page, place)
         end = m.start() if m else len(page)
@@ -118,9 +117,7 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
             if found is not None:
                 at = found.parent
         node = Node(tag, at)
-        node.dropped = at.dropped or marked(tag, raw, articles > 0)
-        if node.dropped and not at.dropped and tag not in DROPPED:
-            suspects.append(node)
+        node.dropped = marked(tag, raw, articles > 0)
         at.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -129,20 +126,15 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
         elif tag not in VOID and not raw.endswith("/"):
             articles += tag in ("article", "main")
             at = node
-    for node in suspects:  # a wrapper whose class only mentions a sidebar, say, still holds the article
-        if any(x.tag in ("article", "main") for x in below(node)):
-            for x in below(node):
-                x.dropped = x.tag in DROPPED or (x is not node and x.parent.dropped)
+    holders: set[Node] = set()
+    for node in reversed(nodes):  # a wrapper whose class only mentions a sidebar, say, still holds the article
+        if node.tag in ("article", "main") or node in holders:
+            holders.add(node.parent)
+    for node in nodes:
+        node.dropped = (node.dropped and (node.tag in DROPPED or node not in holders)) or (node.parent is not None and node.parent.dropped)
     return root, nodes, stream
 
 
-def below(node: Node) -> list[Node]:
-    out = [node]
-    for x in out:
-        out.extend(x.children)
-    return out
-
-
 def densities(root: Node, nodes: list[Node], stream: list[tuple[Node, str | None]]) -> None:
     """Fills in each node's composite text density and the sum of its children's."""
     linked: dict[Node, bool] = {}
