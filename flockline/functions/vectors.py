@@ -30,14 +30,18 @@ def unit(v: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"])), 0)
 
 
+def scaled(v: Column, weight: float) -> Column:
+    return F.transform(v, lambda x: x * weight)
+
+
 def fused(blocks: list[Column], weights: list[float]) -> Column:
     """The unit vector of weighted unit blocks, one after another."""
-    return unit(F.concat(*[F.transform(unit(b), lambda x, w=w: x * w) for b, w in zip(blocks, weights, strict=True)]))
+    return unit(F.concat(*[scaled(unit(b), w) for b, w in zip(blocks, weights, strict=True)]))
 
 
 def averaged(blocks: list[Column], weights: list[float]) -> Column:
     """The unit vector of the weighted sum of unit blocks of one dimension."""
-    parts = [F.transform(unit(b), lambda x, w=w: x * w) for b, w in zip(blocks, weights, strict=True)]
+    parts = [scaled(unit(b), w) for b, w in zip(blocks, weights, strict=True)]
     total = parts[0]
     for p in parts[1:]:
         total = F.zip_with(total, p, lambda x, y: x + y)
@@ -51,15 +55,16 @@ def rooted(v: Column) -> Column:
 
 
 def distance_of_cosine(s: Column) -> Column:
-    return 1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s))
+    return 1 - clipped(s, -1.0)
 
 
 def unit_score(s: Column) -> Column:
-    return (F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s)) + 1) / 2
+    return (clipped(s, -1.0) + 1) / 2
 
 
 def clipped(s: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), s))
+    """Null stays null: least and greatest skip it."""
+    return F.when(s.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), s)))
 
 
 def distance_of_score(s: Column, space: str = "unit_interval") -> Column:

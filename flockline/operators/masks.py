@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def vectorized(kind: str) -> Callable:
+    """A function of series as one of columns. The UDF is made when it is used: workers import this module without a session."""
+
+    def wrap(f: Callable) -> Callable:
+        def call(*columns: Column | str) -> Column:
+            return F.pandas_udf(f, kind)(*columns)
+
+        call.__doc__ = f.__doc__
+        return call
+
+    return wrap
+
+
 def grid(rows) -> np.ndarray:
     return np.array([np.asarray(r) for r in rows]) if rows is not None and len(rows) else np.zeros((0, 0))
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def sharpness(images: pd.Series) -> pd.Series:
     """Variance of horizontal and of vertical differences, added."""
 
@@ -46,12 +61,12 @@ def largest_blob(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<array<int>>")
+@vectorized("array<array<int>>")
 def largest_component(masks: pd.Series) -> pd.Series:
     return masks.map(lambda m: [r.astype(np.int32).tolist() for r in largest_blob(grid(m) > 0)])
 
 
-@F.pandas_udf("angle double, confidence double, long_extent double, short_extent double, fill double")
+@vectorized("angle double, confidence double, long_extent double, short_extent double, fill double")
 def body_axis(masks: pd.Series) -> pd.DataFrame:
     """The principal axis of a mask: its angle in degrees, how much longer it is, the extents along and across, how much of its box it fills."""
 
@@ -69,7 +84,7 @@ def body_axis(masks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(m) for m in masks], columns=["angle", "confidence", "long_extent", "short_extent", "fill"])
 
 
-@F.pandas_udf("array<double>")
+@vectorized("array<double>")
 def column_profile(masks: pd.Series, bins: pd.Series) -> pd.Series:
     """The share of a mask's pixels in each of some equal column ranges."""
 
@@ -81,7 +96,7 @@ def column_profile(masks: pd.Series, bins: pd.Series) -> pd.Series:
     return pd.Series([one(m, int(k)) for m, k in zip(masks, bins, strict=True)])
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def thicker_end(masks: pd.Series, margin: pd.Series) -> pd.Series:
     """missing, uncertain, left or right: at which end a mask's columns are thicker by a margin, in medians over the outer fifths."""
 
@@ -97,7 +112,7 @@ def thicker_end(masks: pd.Series, margin: pd.Series) -> pd.Series:
     return pd.Series([one(m, float(x)) for m, x in zip(masks, margin, strict=True)])
 
 
-@F.pandas_udf("overlap int, corr double, absdiff double, iou double, dice double")
+@vectorized("overlap int, corr double, absdiff double, iou double, dice double")
 def patch_metrics(a: pd.Series, b: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.DataFrame:
     """How two patches with masks agree: correlation and difference where both are, IoU and Dice of the masks."""
 
@@ -114,7 +129,7 @@ def patch_metrics(a: pd.Series, b: pd.Series, ma: pd.Series, mb: pd.Series) -> p
     return pd.DataFrame([one(*r) for r in zip(a, b, ma, mb, strict=True)], columns=["overlap", "corr", "absdiff", "iou", "dice"])
 
 
-@F.pandas_udf("array<double>")
+@vectorized("array<double>")
 def stretched(values: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     """Gray values between two percentiles stretched to 0 to 255; a flat image stays."""
 
@@ -128,7 +143,7 @@ def stretched(values: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(values, low, high, strict=True)])
 
 
-@F.pandas_udf("inliers int, h array<double>")
+@vectorized("inliers int, h array<double>")
 def homography(points_a: pd.Series, points_b: pd.Series, tolerance: pd.Series) -> pd.DataFrame:
     """Matches (x, y pairs in order) within a tolerance of the best similarity hypothesis of two of them, and the homography of those by a normalised direct linear transform."""
 
@@ -160,7 +175,7 @@ def homography(points_a: pd.Series, points_b: pd.Series, tolerance: pd.Series) -
     return pd.DataFrame([one(*r) for r in zip(points_a, points_b, tolerance, strict=True)], columns=["inliers", "h"])
 
 
-@F.pandas_udf("mean double, std double, p05 double, p95 double")
+@vectorized("mean double, std double, p05 double, p95 double")
 def contrast(values: pd.Series) -> pd.DataFrame:
     def one(x) -> tuple:
         x = np.asarray(x, float)

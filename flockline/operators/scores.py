@@ -78,7 +78,7 @@ def seed_support(pairs: DataFrame, affinity: DataFrame, seed: str, scale: float,
 
 def local_rerank(score: Column, local: Column, weight: float) -> Column:
     """Moves a score towards 1 by the local evidence; without evidence it stays."""
-    return F.coalesce(F.least(F.lit(1.0), score + weight * local * (1 - score)), score)
+    return F.when(local.isNull(), score).otherwise(F.least(F.lit(1.0), score + weight * local * (1 - score)))
 
 
 def support_veto(score: Column, support: Column, veto: Column, support_weight: float, veto_weight: float) -> Column:
@@ -88,7 +88,7 @@ def support_veto(score: Column, support: Column, veto: Column, support_weight: f
 
 def blended(score: Column, p: Column, mode: str, scale: float = 0.5) -> Column:
     """A pair probability in a score: replace, max, avg, boost or residual; without one the score stays."""
-    modes = {"replace": p, "max": F.greatest(score, p), "avg": (1 - scale) * score + scale * p, "boost": score + scale * p * (1 - score), "residual": score + scale * (p - 0.5)}
+    modes = {"replace": p, "max": F.when(p.isNotNull(), F.greatest(score, p)), "avg": (1 - scale) * score + scale * p, "boost": score + scale * p * (1 - score), "residual": score + scale * (p - 0.5)}
     return F.coalesce(clipped(modes[mode]), score)
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flockline.plans import prepare  # noqa: F401  registers its queries
+from flockline.plans import identity, prepare  # noqa: F401  they register their queries
 from flockline.plans.catalog import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's five nearest neighbours."""
-    return QUERIES["ag_shape"](spark, sf_dir)
+    return QUERIES["wn_neighbors"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
