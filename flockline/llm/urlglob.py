@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Verdict, host, path: a rule fits the host and its subdomains where the path starts with the rule's.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Globs that block where no host rule fits: ? is one character but /, * any but /, ** any.
-BLOCK_GLOBS = ("ads-*", "*.ads-*", "ads.*/**", "*.ads.*/**", "**/ads/**", "*.doubleclick.*/**", "**/adserver/**")
+BLOCK_GLOBS = tuple(h + p for h in ("ads-*", "*.ads-*", "ads.*", "*.ads.*", "*.doubleclick.*") for p in ("", "/**")) + ("**/ads/**", "**/adserver/**")
 HOST = r"^[\s\S]*?://([^/?#]*)"
 PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
 
