@@ -16,21 +16,22 @@ def contingency(members: DataFrame, a: str, b: str, keys: list[str]) -> DataFram
 
 def pair_metrics(members: DataFrame, truth: str, predicted: str, keys: list[str]) -> DataFrame:
     """precision, recall, f1, ari, nmi, rand and counts of a partition against the truth, from the contingency table alone."""
-    cells = contingency(members, truth, predicted, keys)
-    rows, columns = cells.groupBy(*keys, truth).agg(F.sum("n").alias("a")), cells.groupBy(*keys, predicted).agg(F.sum("n").alias("b"))
+    members = members.select(*keys, F.col(truth).alias("__t"), F.col(predicted).alias("__p"))
+    cells = members.groupBy(*keys, "__t", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    rows, columns = cells.groupBy(*keys, "__t").agg(F.sum("__n").alias("__a")), cells.groupBy(*keys, "__p").agg(F.sum("__n").alias("__b"))
 
     def entropy(n: str, total: Column) -> Column:
         return -F.sum(F.col(n) / total * F.log(F.col(n) / total))
 
-    total = cells.groupBy(*keys).agg(F.sum("n").alias("items"))
+    total = cells.groupBy(*keys).agg(F.sum("__n").alias("items"))
     on = keys or ["__all"]
     if not keys:
         cells, rows, columns, total = (t.withColumn("__all", F.lit(1)) for t in (cells, rows, columns, total))
-    c = cells.join(rows, [*on, truth]).join(columns, [*on, predicted]).join(total, on)
-    p = F.col("n") / F.col("items")
-    first = c.groupBy(*on).agg(F.sum(F.col("n") * F.col("n")).alias("s"), F.sum(p * F.log(F.col("n") * F.col("items") / (F.col("a") * F.col("b")))).alias("mi"))
-    second = rows.join(total, on).groupBy(*on).agg(F.sum(F.col("a") * F.col("a")).alias("sa"), entropy("a", F.col("items")).alias("ha"), F.count(F.lit(1)).alias("identities"))
-    third = columns.join(total, on).groupBy(*on).agg(F.sum(F.col("b") * F.col("b")).alias("sb"), entropy("b", F.col("items")).alias("hb"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("b") == 1).alias("singletons"))
+    c = cells.join(rows, [*on, "__t"]).join(columns, [*on, "__p"]).join(total, on)
+    n, p = F.col("__n"), F.col("__n") / F.col("items")
+    first = c.groupBy(*on).agg(F.sum(n * n).alias("s"), F.sum(p * F.log(n * F.col("items") / (F.col("__a") * F.col("__b")))).alias("mi"))
+    second = rows.join(total, on).groupBy(*on).agg(F.sum(F.col("__a") * F.col("__a")).alias("sa"), entropy("__a", F.col("items")).alias("ha"), F.count(F.lit(1)).alias("identities"))
+    third = columns.join(total, on).groupBy(*on).agg(F.sum(F.col("__b") * F.col("__b")).alias("sb"), entropy("__b", F.col("items")).alias("hb"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("__b") == 1).alias("singletons"))
     m = total.join(first, on).join(second, on).join(third, on)
     m = m.withColumns({"tp": F.col("s") - F.col("items"), "fp": F.col("sb") - F.col("s"), "fn": F.col("sa") - F.col("s")}).withColumn("tn", F.col("items") * F.col("items") - F.col("fp") - F.col("fn") - F.col("s"))
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))

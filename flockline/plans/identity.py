@@ -201,8 +201,8 @@ def vc_hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {half_sql('a')}, {half_sql('b')}, p AS (SELECT a.q AS l, a.nbr AS r, a.score AS g, CASE WHEN b.score >= 0.1 THEN b.score END AS p FROM dirs_a a JOIN dirs_b b ON a.q = b.q AND a.nbr = b.nbr WHERE a.q < a.nbr), d AS (SELECT *, CASE WHEN p IS NULL THEN 'unknown' WHEN p < 0.15 THEN 'hard' WHEN p < 0.2 THEN 'soft' ELSE 'support' END AS decision FROM p)
-SELECT l, r, round(coalesce(least(1, g + 0.4 * p * (1 - g)), g), 6) AS reranked, round(least(1, greatest(0, g + 0.3 * coalesce(p, 0) - 0.2 * coalesce(1 - p, 0))), 6) AS supported, round(coalesce(least(1, greatest(0, g + 0.5 * (p - 0.5))), g), 6) AS residual,
-round(coalesce(least(1, greatest(0, greatest(g, p))), g), 6) AS best, round(coalesce(least(1, greatest(0, 0.5 * g + 0.5 * p)), g), 6) AS mean, round(CASE decision WHEN 'hard' THEN least(g, 0.05) WHEN 'soft' THEN g * 0.5 ELSE g END, 6) AS vetoed, round(greatest(least(1, greatest(0, g)), least(1, greatest(0, coalesce(p, 0)))), 6) AS strongest, decision FROM d""")
+SELECT l, r, round(CASE WHEN p IS NULL THEN g ELSE least(1, g + 0.4 * p * (1 - g)) END, 6) AS reranked, round(least(1, greatest(0, g + 0.3 * coalesce(p, 0) - 0.2 * coalesce(1 - p, 0))), 6) AS supported, round(CASE WHEN p IS NULL THEN g ELSE least(1, greatest(0, g + 0.5 * (p - 0.5))) END, 6) AS residual,
+round(CASE WHEN p IS NULL THEN g ELSE least(1, greatest(0, g, p)) END, 6) AS best, round(CASE WHEN p IS NULL THEN g ELSE least(1, greatest(0, 0.5 * g + 0.5 * p)) END, 6) AS mean, round(CASE decision WHEN 'hard' THEN least(g, 0.05) WHEN 'soft' THEN g * 0.5 ELSE g END, 6) AS vetoed, round(greatest(least(1, greatest(0, g)), least(1, greatest(0, coalesce(p, 0)))), 6) AS strongest, decision FROM d""")
 def vc_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VC24-31, RV1-3."""
     a, b = (V.pair_scores(route(spark, sf_dir, h)) for h in "ab")
