@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,16 +22,25 @@ SHAPE = re.compile(r"[\w]+")
 CACHE = 200_000
 
 
+MASK = (1 << BITS) - 1
+#: Characters of a word's stem; how often a text's words share a stem tells a topic.
+STEM = 5
+
+
+def hashed(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & MASK
+
+
 class Hasher:
-    """The hashed features of a text: its distinct words, their outer signs, and its shape as a whole, each present or not."""
+    """The hashed features of a text, each present or not: its distinct words, their outer signs, stems that two and three of its words share, and its shape as a whole."""
 
     def __init__(self) -> None:
-        self.cache: dict[str, tuple[int, int]] = {}
+        self.cache: dict[str, tuple[int, int, int]] = {}
 
-    def of_word(self, word: str) -> tuple[int, int]:
+    def of_word(self, word: str) -> tuple[int, int, int]:
+        bare = word.strip(".,;:!?\"'()").lower()
         signs = SHAPE.sub("", word)
-        form = f"\x01{signs[:8]}{'U' if len(word) > 3 and word.isupper() else ''}"
-        found = (zlib.crc32(word.strip(".,;:!?\"'()").lower().encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1), zlib.crc32(form.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
+        found = (hashed(bare), hashed(f"\x01{signs[:8]}{'U' if len(word) > 3 and word.isupper() else ''}"), hashed(f"\x03{bare[:STEM]}") if len(bare) >= STEM else -1)
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[word] = found
@@ -40,22 +50,34 @@ class Hasher:
         words = text.split()
         if not words:
             return np.array([self.flat("empty", 0)], np.int32)
-        kinds = dict.fromkeys(words)
+        kinds = Counter(words)
         get, of_word = self.cache.get, self.of_word
         out: set[int] = set()
-        for w in kinds:
-            out.update(get(w) or of_word(w))
+        stems: dict[int, int] = {}
+        for w, times in kinds.items():
+            word, form, stem = get(w) or of_word(w)
+            out.add(word)
+            out.add(form)
+            stems[stem] = stems.get(stem, 0) + times
+        stems.pop(-1, None)
+        for stem, times in stems.items():
+            if times > 1:
+                out.add((stem * 5 + 1) & MASK)
+                if times > 2:
+                    out.add((stem * 5 + 2) & MASK)
         n = len(words)
         lines = [x for x in text.split("\n") if x.strip()]
         runs = sum(map(str.__eq__, words, words[1:]))
         upper = sum(map(str.isupper, words))
-        letters = len(SHAPE.sub("", text)) - text.count(" ") - text.count("\n")
-        for name, share in (("kinds", len(kinds) / n if n >= 50 else 1.0), ("runs", runs / n), ("lines", 1 - len(set(lines)) / max(len(lines), 1)), ("upper", upper / n), ("signs", letters / max(len(text), 1)), ("pipes", words.count("|") / n)):
-            out.add(self.flat(name, int(share * 12)))
+        signs = len(SHAPE.sub("", text)) - text.count(" ") - text.count("\n")
+        # Shares of a few words say nothing.
+        enough = n >= 10
+        for name, share in (("kinds", len(kinds) / n if n >= 50 else 1.0), ("runs", runs / n), ("lines", 1 - len(set(lines)) / max(len(lines), 1)), ("upper", upper / n), ("signs", signs / max(len(text), 1)), ("pipes", words.count("|") / n)):
+            out.add(self.flat(name, int(share * 12) if enough or name == "kinds" else 0))
         return np.fromiter(sorted(out), np.int32, len(out))
 
     def flat(self, name: str, step: int) -> int:
-        return zlib.crc32(f"\x02{name}{step}".encode()) & ((1 << BITS) - 1)
+        return hashed(f"\x02{name}{step}")
 
 
 @dataclass(frozen=True)
@@ -70,7 +92,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -30, 30)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = 5, sparsity: float = 0.0008, steps: int = 300) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = 5, sparsity: float = 0.0003, steps: int = 600) -> Model:
     """Maximum likelihood with an L1 penalty, by accelerated proximal gradient; the cuts are kept in order by their gaps' logs.
 
     Features in fewer than ``least_docs`` documents have no weight. With one grade
@@ -96,7 +118,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = 5, sparsit
     seen, momentum, previous, past_cuts, ahead = w.copy(), 1.0, w.copy(), cuts.copy(), cuts.copy()
     upper, lower = grades < GRADES - 1, grades > 0
     degree = np.bincount(feature, minlength=len(names))
-    rate = 8.0 / max(np.bincount(doc, minlength=n).mean() ** 0.5, 1) / n
+    rate = 64.0 / max(np.bincount(doc, minlength=n).mean() ** 0.5, 1) / n
     pace = rate * n / np.sqrt(np.maximum(degree, 1)) / np.sqrt(n)  # steps in proportion to a feature's rarity
     for _ in range(steps):
         score = np.bincount(doc, seen[feature], minlength=n)
