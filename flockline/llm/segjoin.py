@@ -25,6 +25,10 @@ from flockline.llm.common import written
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A segment whose sets lie in more components than this is costly: it gets no equal matches, and its sets' other segments get one-deletion neighbours.
 COSTLY = 64
+#: Marks of the classes whose sets are asked for: a filter of 1 MB. Classes without a pair may share a mark; they are dropped later.
+MARKS = 1 << 23
+#: How many of a signature's classes the others are tried with, round by round, before all pairs that are left.
+HEADS = (1, 8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -113,6 +117,11 @@ def spread(s: np.ndarray) -> np.ndarray:
         return mixed(s + np.uint64(0x632BE59BD9B4E019))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """512 bits, each the parity of the elements that fall to it: two sets differ in at least as many elements as their bits do."""
+    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
+
+
 def signature(band: int, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """A 64-bit name of a segment's content: band and segment number are part of it."""
     with np.errstate(over="ignore"):
@@ -150,7 +159,22 @@ def components(nodes: DataFrame, links: DataFrame, node: str, rounds: int = 40)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes: those whose whole sets of shingles are similar enough."""
+    """Of pairs (a, b) of classes: those whose whole sets of shingles are similar enough.
+
+    Sizes and parities, 72 bytes a class, rule most others out before sets travel.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("class").alias(end), F.col("size").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 4096):
+            na, nb = (b.column(k).to_numpy() for k in ("na", "nb"))
+            pa_, pb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, 64) for k in ("pa", "pb"))
+            apart = np.bitwise_count(pa_ ^ pb).sum(1)
+            fit = (apart <= (100 - percent) * (na + nb) // (100 + percent)) & (np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(fit))
+
+    pairs = pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(possible, "a binary, b binary")
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -178,6 +202,13 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, "sig").filter("ca < cb and (pa or pb)").select("a", "b").distinct()
 
 
+def between(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (sig, class) of signatures that still join different components, with their own (component) and how many they are (n)."""
+    placed = members.join(found, "class")
+    several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.approx_count_distinct("component").alias("n")).filter("x < y").select("sig", "n")
+    return written(placed.join(several, "sig"), "join-between")
+
+
 def neighbourhoods(sets: DataFrame, costly: DataFrame, percent: int) -> DataFrame:
     """sig, class, probe: one-deletion neighbourhoods in place of costly segments.
 
@@ -254,14 +285,15 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     class, whose least key stands for it; only classes are joined.
 
     1. One pass gives sizes and digests; copies collapse to classes.
-    2. Each class's first document gives the signatures of its segments. Sets with a
-       signature in common meet as a star around the least class; the stars'
-       pairs are verified on the whole sets and give components. A group of near
-       copies is one component after that, without all its pairs.
+    2. Each class gives the signatures of its segments, once a task. Of the classes
+       that share one with a lesser class, each is verified on the whole sets with
+       the least such class; that gives components. Then, where a signature still
+       joins different components, with its first class and its first eight. A group
+       of near copies is mostly one component after that, without all its pairs.
     3. Where a signature still joins different components, all pairs across them
        are verified: no link is lost. Signatures that join more than ``costly``
        components give way to one-deletion neighbourhoods of the sets' other segments,
-       unless a set has as many costly segments as others.
+       unless a set has more costly segments than others.
 
     Texts without words, or null, are empty, link with nothing and are their own
     component; fewer words than a shingle are one shingle. A row with a null key
@@ -309,31 +341,56 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     signed = rows.mapInArrow(sign, "sig long, name long").withColumn("least", F.min("name").over(one)).withColumn("most", F.max("name").over(one))
     members = written(signed.filter("least < most").select("sig", "name").distinct().join(named, "name").select("sig", "class"), "join-members")
     wanted = members.select("class").distinct()
-    ids = wanted.join(named, "class").select(F.col("first").alias("key")).distinct()
+    marks = np.zeros(MARKS, bool)
+    marks[wanted.join(named, "class").select((F.col("name") % MARKS).alias("m")).distinct().toArrow().column("m").to_numpy()] = True
+    marks = np.packbits(marks)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
+        shingler, asked = Shingler(shingle), np.unpackbits(marks).astype(bool)
+        done: set[bytes] = set()
         for b in sliced(batches, 256):
-            found = [shingler(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for _, d in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s, _ in found], pa.binary())], ["class", "shingles"])
+            names, sets = [], []
+            for t in b.column(1):
+                s, digest = shingler(t.as_py() or "")
+                if len(s) and asked[(int.from_bytes(digest[:8], "big") >> 4) % MARKS] and digest not in done:
+                    done.add(digest)
+                    names.append(digest)
+                    sets.append(s.astype("<u8").tobytes())
+            if len(done) > 1_000_000:
+                done.clear()
+            columns = [pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array([parity(np.frombuffer(x, "<u8")) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", "size", "parity"])
 
-    chosen = rows.join(ids.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
-    sets = written(chosen.mapInArrow(pack, "class binary, shingles binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "join-sets")
-    centre = members.groupBy("sig").agg(F.min("class").alias("a"))
-    stars = members.join(centre, "sig").filter("a < class").select("a", F.col("class").alias("b")).distinct()
-    links = written(verified(stars, sets, percent), "join-links")
+    sets = written(rows.mapInArrow(pack, "class binary, shingles binary, size long, parity binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "join-sets")
+    centred = members.join(members.groupBy("sig").agg(F.min("class").alias("a")), "sig").filter("a < class")
+    tried = written(centred.groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
+    links = written(verified(tried, sets, percent), "join-links")
     starred = components(wanted, links, "class")
-    placed = members.join(starred, "class")
-    mixed_sigs = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.approx_count_distinct("component").alias("n")).filter("x < y").select("sig", "n")
-    open_members = written(placed.join(mixed_sigs, "sig"), "join-open")
-    if not open_members.isEmpty():
-        dear = open_members.filter(F.col("n") > costly).select("sig", "class", "component")
-        pairs = cross_pairs(open_members.filter(F.col("n") <= costly))
+    placed = between(members, starred)
+    for heads in HEADS:
+        if placed.isEmpty():
+            break
+        first = F.row_number().over(Window.partitionBy("sig").orderBy("class")) <= heads
+        chosen = placed.withColumn("first", first).filter("first").select("sig", F.col("class").alias("a"), F.col("component").alias("ca"))
+        stars = placed.join(chosen, "sig").filter("component <> ca").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+        stars = written(stars.join(tried, ["a", "b"], "left_anti"), "join-stars")
+        new = written(verified(stars, sets, percent), "join-links")
+        tried = tried.union(stars)
+        if not new.isEmpty():
+            links = written(links.union(new), "join-links")
+            starred = components(wanted, links, "class")
+            placed = between(placed.select("sig", "class"), starred)
+    if not placed.isEmpty():
+        dear = placed.filter(F.col("n") > costly).select("sig", "class", "component")
+        pairs = cross_pairs(placed.filter(F.col("n") <= costly))
         if not dear.isEmpty():
             pairs = pairs.union(cross_pairs(neighbourhoods(sets, dear, percent).join(starred, "class"))).union(cross_pairs(stubborn(dear, sets, percent)))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        links = written(links.union(verified(pairs, sets, percent)), "join-links")
-    found = components(wanted, links, "class")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(verified(pairs, sets, percent), "join-links")
+        if not new.isEmpty():
+            links = written(links.union(new), "join-links")
+            starred = components(wanted, links, "class")
+    found = starred
     least = found.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
     ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = classes.join(found.join(least, "component").select("class", "component_id"), "class", "left").join(ends, "class", "left")
