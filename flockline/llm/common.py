@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +50,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running_total(df: DataFrame, group: list[str], key: str, ties: list[Column], value: Column, name: str, bits: int = 12) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over a group's earlier rows, in the order of the 52-bit ``key``, then ``ties``.
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flockline.llm.common import written
+from flockline.llm.common import released, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: No word is a line feed, so it stands for the end.
@@ -36,9 +36,11 @@ END = xxhash.xxh3_64_intdigest(b"\n")
 #: At most so many words are common: the bound of what is broadcast.
 COMMON = 100_000
 SHARED = 4096
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 65_000
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 750_000
+#: Documents whose partial sums a scoring task holds before it passes them on.
+HELD_DOCS = 400_000
 DISCOUNTS = (0.5, 0.75)
 DOC_BITS = 17
 
@@ -90,7 +92,7 @@ def chunks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Chun
             for w in (text.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split():
                 h = cache.get(w)
                 if h is None:
-                    if len(cache) > 400_000:
+                    if len(cache) > 150_000:
                         cache.clear()
                     h = cache[w] = xxhash.xxh3_64_intdigest(w)
                 hashes.append(h)
@@ -171,7 +173,10 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
                 if len(some) or len(few):
                     few = few[np.argsort(rare[few], kind="stable")]
                     yield row(k, chunk.number, packed(np.diff(some, prepend=np.int64(0)), np.diff(rare[few], prepend=np.uint64(0)), rest[few]))
-            yield row(-1 - chunk.number % known.buckets, chunk.number, pickle.dumps((chunk.ids, lengths, train)))
+            # What common words add to the base score is known here.
+            owner = (doc >> 1)[common]
+            base = np.bincount(owner, np.log10(known.counts[at[common]] + 0.1) if len(owner) else None, len(lengths))
+            yield row(-1 - chunk.number % known.buckets, chunk.number, pickle.dumps((chunk.ids, lengths, train, base, np.bincount(owner, minlength=len(lengths)))))
 
     def row(bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "chunk", "blob"])
@@ -200,19 +205,25 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
         doc = np.concatenate([*docs_, *rare_docs])
         n_pairs = len(names) + len(rare_names)
         c = np.bincount(spot, doc & 1, n_pairs).astype(np.int64)
-        w = np.concatenate([names // known.contexts, -1 - rare_names // known.contexts])
-        u = np.concatenate([names % known.contexts, rare_names % known.contexts])
         of = np.concatenate([*of, *rare_of])
         order = np.argsort(of, kind="stable")
         chunk = np.array(rows.column("chunk").to_pylist(), np.int64)
-        pairs = packed(w.astype(np.int32), u.astype(np.int32), c.astype(np.int32) if c.max(initial=0) < 2**31 else c)
-        places = packed(chunk, np.searchsorted(of[order], np.arange(len(chunk) + 1)), spot[order], doc[order] >> 1)
+        pairs = packed(np.diff(names, prepend=0), np.diff(rare_names, prepend=0), c.astype(np.int32) if c.max(initial=0) < 2**31 else c)
+        places = packed(chunk, np.searchsorted(of[order], np.arange(len(chunk) + 1)), np.diff(spot[order], prepend=np.int32(0)), (doc[order] >> 1).astype(np.uint16))
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "chunk": pa.nulls(1, pa.int64()), "pairs": pa.array([pairs], pa.binary()), "places": pa.array([places], pa.binary())})
 
     rows = docs.mapInArrow(deal, "bucket long, chunk long, blob binary")
     return written(rows.groupBy("bucket").applyInArrow(gather, "bucket long, chunk long, pairs binary, places binary"), "lm-buckets")
 
 
+def pairs_of(blob: bytes, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's pairs: common word or -1 less the rare word's number, context, training count."""
+    common, rare, c = unpacked(blob)
+    common, rare = np.cumsum(common), np.cumsum(rare)
+    w = np.concatenate([common // contexts, -1 - rare // contexts])
+    return w.astype(np.int32), np.concatenate([common % contexts, rare % contexts]).astype(np.int32), c
+
+
 def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that the customers of each dish take, seated one by one.
 
@@ -304,7 +315,7 @@ def sampled(buckets: DataFrame, known: Words, sweeps: int, seed: int) -> tuple[l
             total = np.zeros(2 * size + common + 1, np.int64)  # tables of contexts, customers of contexts, tables of common words, root tables of rare words
             for b in batches:
                 for bucket, blob in zip(b.column(0), b.column(1), strict=True):
-                    w, u, c = pairs = unpacked(blob.as_buffer())
+                    w, u, c = pairs = pairs_of(blob.as_buffer(), known.contexts)
                     tables, _, root = replayed(bucket.as_py(), pairs, before, known, seed, last=True)[-1]
                     total[:size] += np.bincount(u, tables, size).astype(np.int64)
                     if not before:
@@ -337,7 +348,8 @@ def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) ->
 
     All documents are scored; those whose crc32(doc_id as text) mod 10 is not 0
     train (a null id counts as '' and is held out). Null text counts as empty: its
-    only token is the end. score sums log10 of the predictive probability averaged
+    only token is the end. Partial sums travel in single precision, so scores of runs
+    that cut the tables differently agree to about 7 digits. score sums log10 of the predictive probability averaged
     over the sweeps after ``burn_in``; 10 ** (-score / n_tokens) is the perplexity.
     base_score is the smoothed unigram score. Rows with equal ids stay rows; equal
     texts of equal ids get equal scores; an empty table gives none; without training
@@ -346,14 +358,19 @@ def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) ->
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = counted(rows)
     buckets = dealt(rows, known)
+    released(docs.sparkSession)
     done, customers = sampled(buckets, known, sweeps, seed)
     used = range(burn_in + 1, sweeps + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        first = None
         for b in batches:
             for bucket, blob, where in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                w, u, c = pairs = unpacked(blob.as_buffer())
+                first = bucket.as_py() if first is None else first
+                w, u, c = pairs = pairs_of(blob.as_buffer(), known.contexts)
                 chunk, cuts, spot, doc = unpacked(where.as_buffer())
+                spot = np.cumsum(spot, dtype=np.int32)
                 states = replayed(bucket.as_py(), pairs, done, known, seed, last=False)
                 rare = w < 0
                 word = -1 - w[rare]
@@ -365,29 +382,44 @@ def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) ->
                     root[rare] = root_probability(rare_tables, rare_root, s, known.v)[word]
                     root[~rare] = root_probability(s.common[w[~rare]], s.common_root[w[~rare]], s, known.v)
                     p += (np.maximum(c - DISCOUNTS[1] * tables, 0) + (s.strengths[1] + DISCOUNTS[1] * s.tables[u]) * root) / (s.strengths[1] + customers[u])
+                del states
                 logs = np.log10(p / len(used))
-                count = np.empty(len(w))
-                count[rare] = np.bincount(word, c[rare], int(word.max(initial=-1)) + 1)[word]
-                count[~rare] = known.counts[w[~rare]]
-                base, seen = np.log10(count + 0.1), (count > 0).astype(float)
-                blobs = []
-                for i in range(len(chunk)):
+                count = np.bincount(word, c[rare], int(word.max(initial=-1)) + 1)[word]
+                base, seen = np.zeros(len(w)), np.zeros(len(w))
+                base[rare], seen[rare] = np.log10(count + 0.1), count > 0
+                for i, name in enumerate(chunk.tolist()):
                     at, d = spot[cuts[i] : cuts[i + 1]], doc[cuts[i] : cuts[i + 1]]
-                    present = np.unique(d)
-                    local = np.searchsorted(present, d)
-                    blobs.append(pickle.dumps((present, *[np.bincount(local, x[at]) for x in (logs, base, seen)]), 5))
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array([bucket.as_py()] * len(chunk), pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
+                    sums = np.stack([np.bincount(d, x[at]) for x in (logs, base, seen)])
+                    if name in held and held[name].shape[1] >= sums.shape[1]:
+                        held[name][:, : sums.shape[1]] += sums
+                    else:
+                        if name in held:
+                            sums[:, : held[name].shape[1]] += held[name]
+                        held[name] = sums
+                if sum(x.shape[1] for x in held.values()) > HELD_DOCS:
+                    yield passed_on(first, held)
+                    held, first = {}, None
+        if held:
+            yield passed_on(first, held)
+
+    def passed_on(bucket: int, held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Partial sums of the documents that have any, in single precision."""
+        blobs = []
+        for sums in held.values():
+            present = np.flatnonzero((sums != 0).any(0))
+            blobs.append(packed(np.diff(present, prepend=0).astype(np.uint16), sums[0, present].astype("f4"), sums[1, present].astype("f4"), sums[2, present].astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
 
     def assemble(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("bucket")
         ids, lengths, train, total = [], np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((3, 0))
         for bucket, blob in zip(rows.column("bucket"), rows.column("blob"), strict=True):
             if bucket.as_py() < 0:
-                ids, lengths, train = pickle.loads(blob.as_buffer())
-                total = np.zeros((3, len(ids)))
+                ids, lengths, train, base, seen = pickle.loads(blob.as_buffer())
+                total = np.stack([np.zeros(len(ids)), base, seen])
             else:
-                at, *sums = pickle.loads(blob.as_buffer())
-                total[:, at] += sums
+                steps, *sums = unpacked(blob.as_buffer())
+                total[:, np.cumsum(steps, dtype=np.int64)] += sums
         base = total[1] - lengths * math.log10(known.n + 0.1 * (known.v + 1))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(total[2].round().astype(np.int64)), "train_tokens": pa.array([known.n] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(total[0])})
 
