@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -68,6 +69,19 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
 
 
 
+def packed_ids(places: np.ndarray, ids: list[np.ndarray]) -> bytes:
+    """Rising places as steps, numbers of ids and ids, in this order."""
+    sizes = np.array([len(x) for x in ids], "<u4")
+    return b"".join([struct.pack("<I", len(ids)), np.diff(places, prepend=0).astype("<u4").tobytes(), sizes.tobytes(), np.concatenate(ids).astype("<u4").tobytes()])
+
+
+def unpacked_ids(blob: bytes) -> tuple[list[int], list[np.ndarray]]:
+    n = struct.unpack_from("<I", blob)[0]
+    values = np.frombuffer(blob, "<u4", offset=4)
+    sizes = values[n : 2 * n].astype(np.int64)
+    return np.cumsum(values[:n], dtype=np.int64).tolist(), np.split(values[2 * n :], np.cumsum(sizes)[:-1])
+
+
 def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's token ids and the text that they decode to: ``key``, ids (binary, little-endian unsigned 32-bit), decoded.
 
@@ -102,15 +116,25 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
-        known: dict[str, bytes] = {}
+        known: dict[str, np.ndarray] = {}
         for b in batches:
             words = b.column("word").to_pylist()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            done = {w: struct.pack(f"<{len(x.ids)}I", *x.ids) for w, x in zip(fresh, t.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-            ids = [done[w] if w in done else known[w] for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("place"), pa.array(ids, pa.binary())], ["chunk", "place", "ids"])
+            kinds = list(dict.fromkeys(words))
+            fresh = [w for w in kinds if w not in known]
+            done = known | {w: np.array(x.ids, np.uint32) for w, x in zip(fresh, t.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+            # One row for each chunk in the batch: places, lengths and ids side by side.
+            number = {w: i for i, w in enumerate(kinds)}
+            of = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            chunk, place = b.column("chunk").to_numpy(), b.column("place").to_numpy()
+            order = np.lexsort((place, chunk))
+            names, starts = np.unique(chunk[order], return_index=True)
+            blobs = []
+            for rows in np.split(order, starts[1:]):
+                ids = [done[kinds[k]] for k in of[rows]]
+                blobs.append(zstandard.compress(packed_ids(place[rows], ids), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["chunk", "ids"])
             # Rows are sorted by word: only the last word can go on in the next batch.
-            known = {words[-1]: ids[-1]} if words else known
+            known = {words[-1]: done[words[-1]]} if words else known
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, keys, texts in chunks(batches):
@@ -123,10 +147,14 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         splitter = Splitter(vocabulary)
         pieces = pieces_of(vocabulary)
-        ids: list[bytes] = [b""] * right.num_rows
-        for place, x in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            ids[place] = x
-        decoded = [" ".join([pieces[i] for (i,) in struct.iter_unpack("<I", x)]) for x in ids]
+        found = [unpacked_ids(zstandard.decompress(x.as_buffer())) for x in right.column("ids")]
+        ids: list[bytes] = [b""] * sum(len(places) for places, _ in found)
+        decoded = [""] * len(ids)
+        for places, of in found:
+            for place, x in zip(places, of, strict=True):
+                ids[place] = x.astype("<u4").tobytes()
+                decoded[place] = " ".join([pieces[i] for i in x])
+        del found
         out: list[pa.Table] = []
         for packed in left.column("packed"):
             whole = pa.ipc.open_stream(zstandard.decompress(packed.as_buffer())).read_all()
@@ -148,7 +176,7 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     pa_kind = to_arrow_type(kind)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = rows.mapInArrow(list_words, "chunk long, place int, word string").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(encode_words, "chunk long, place int, ids binary")
+    table = rows.mapInArrow(list_words, "chunk long, place int, word string").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(encode_words, "chunk long, ids binary")
     packed = rows.mapInArrow(pack, "chunk long, packed binary")
     schema = docs.select(F.col(key).alias(key)).schema.add("ids", "binary").add("decoded", "string")
     return packed.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, schema)
