@@ -1,16 +1,18 @@
 """LM scoring by a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
-Two levels of Chinese restaurants: one for each context (the word before; words
-outside the common ones share 4,096 contexts by hash, and a text's start is one),
-and their common parent, whose base is uniform over the V known tokens and one
-unknown. A sweep seats the customers of each dish of a context anew, last of all,
+Two levels of Chinese restaurants: one for each context (the word before, by its
+exact hash, or a text's start), and their common parent, whose base is uniform
+over the V known tokens and one unknown. A sweep seats the customers of each dish of a context anew, last of all,
 which exchangeability allows, against the parent and the other dishes' tables
 of the sweep before; then it seats the tables of each dish in the parent.
 
 Tokens travel once, in compressed blocks, to buckets: a rare word's tokens by the
-word, a common word's by word and context, so that neither a word nor a context
-meets in one task. What buckets need of the others is bounded: the tables of each
-common word and of each context. Strengths are resampled after every sweep.
+word, a common word's by the context where that is rare and else by word and
+context, so that neither a common word nor a common context meets in one task.
+All tasks know the tables of each common word and common context. Those of rare
+contexts, whose number grows with the input, are summed by context after every
+sweep and joined to the buckets that have them; contexts without a repeated pair
+keep theirs and travel once. Strengths are resampled after every sweep.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockline.llm.common import released, written
@@ -35,7 +37,6 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: At most so many words are common: the bound of what is broadcast.
 COMMON = 100_000
-SHARED = 4096
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 65_000
 BUCKET_TOKENS = 750_000
@@ -119,7 +120,8 @@ class Words:
 
     @property
     def contexts(self) -> int:
-        return len(self.hashes) + SHARED + 1
+        """Those that all tasks know: the common words and, last, a text's start. A bucket numbers its rare contexts from here on."""
+        return len(self.hashes) + 1
 
 
 def counted(docs: DataFrame) -> Words:
@@ -159,20 +161,24 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
             doc = np.repeat(np.arange(len(lengths), dtype=np.int64) << np.int64(1) | train, lengths)
             at = np.minimum(np.searchsorted(known.hashes, h), max(len(known.hashes) - 1, 0))
             common = known.hashes[at] == h if len(known.hashes) else np.zeros(len(h), bool)
-            own = np.where(common, at, len(known.hashes) + (h % np.uint64(SHARED)).astype(np.int64))
-            context = np.roll(own, 1)
-            context[np.cumsum(lengths) - lengths] = known.contexts - 1
-            code = at[common].astype(np.int64) * known.contexts + context[common]
-            place, whole = spread(code) % np.uint64(known.buckets), code << bits | doc[common]
-            rare, rest = h[~common], context[~common] << bits | doc[~common]
-            rare_place = spread(rare) % np.uint64(known.buckets)
+            firsts = np.cumsum(lengths) - lengths
+            near, context, before = np.roll(common, 1), np.roll(at, 1), np.roll(h, 1)
+            near[firsts], context[firsts] = True, known.contexts - 1
+            both = common & near
+            code = at[both].astype(np.int64) * known.contexts + context[both]
+            place, whole = spread(code) % np.uint64(known.buckets), code << bits | doc[both]
+            kind = np.where(near, 1, np.where(common, 2, 3))[~both]  # rare: the word, the context, both
+            key = np.where(common, before, h)[~both]
+            known_one = np.select([kind == 1, kind == 2], [context[~both], at[~both]], 0).astype(np.int64)
+            rest, other = (known_one << np.int64(2) | kind) << bits | doc[~both], before[~both]
+            rare_place = spread(key) % np.uint64(known.buckets)
             by, rare_by = np.argsort(place, kind="stable"), np.argsort(rare_place, kind="stable")
             cuts, rare_cuts = np.searchsorted(place[by], np.arange(known.buckets + 1)), np.searchsorted(rare_place[rare_by], np.arange(known.buckets + 1))
             for k in range(known.buckets):
                 some, few = np.sort(whole[by[cuts[k] : cuts[k + 1]]]), rare_by[rare_cuts[k] : rare_cuts[k + 1]]
                 if len(some) or len(few):
-                    few = few[np.argsort(rare[few], kind="stable")]
-                    yield row(k, chunk.number, packed(np.diff(some, prepend=np.int64(0)), np.diff(rare[few], prepend=np.uint64(0)), rest[few]))
+                    few = few[np.argsort(key[few], kind="stable")]
+                    yield row(k, chunk.number, packed(np.diff(some, prepend=np.int64(0)), np.diff(key[few], prepend=np.uint64(0)), rest[few], other[few][kind[few] == 3]))
             # What common words add to the base score is known here.
             owner = (doc >> 1)[common]
             base = np.bincount(owner, np.log10(known.counts[at[common]] + 0.1) if len(owner) else None, len(lengths))
@@ -186,21 +192,27 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
         if bucket < 0:
             return pa.table({"bucket": rows.column("bucket"), "chunk": rows.column("chunk"), "pairs": none, "places": rows.column("blob")})
         rows = rows.sort_by("chunk")
-        codes, docs_, hashes, contexts, rare_docs, of, rare_of = [], [], [], [], [], [], []
+        codes, docs_, keys, rests, others, of, rare_of = [], [], [], [], [], [], []
         for i, blob in enumerate(rows.column("blob")):
-            some, rare, rest = unpacked(blob.as_buffer())
+            some, key, rest, other = unpacked(blob.as_buffer())
             some = np.cumsum(some)
             codes.append(some >> bits)
             docs_.append((some & ((1 << DOC_BITS) - 1)).astype(np.int32))
             of.append(np.full(len(some), i, np.int32))
             with np.errstate(over="ignore"):
-                hashes.append(np.cumsum(rare, dtype=np.uint64))
-            contexts.append(rest >> bits)
-            rare_docs.append((rest & ((1 << DOC_BITS) - 1)).astype(np.int32))
-            rare_of.append(np.full(len(rare), i, np.int32))
+                keys.append(np.cumsum(key, dtype=np.uint64))
+            rests.append(rest)
+            others.append(other)
+            rare_of.append(np.full(len(key), i, np.int32))
         names, spot = np.unique(np.concatenate(codes), return_inverse=True)
-        words, word = np.unique(np.concatenate(hashes), return_inverse=True)
-        rare_names, rare_spot = np.unique(word.astype(np.int64) * known.contexts + np.concatenate(contexts), return_inverse=True)
+        key, rest = np.concatenate(keys), np.concatenate(rests)
+        kind, w, u = rest >> bits & 3, rest >> (bits + 2), rest >> (bits + 2)
+        rare_docs = [(rest & ((1 << DOC_BITS) - 1)).astype(np.int32)]
+        w[kind != 2] = len(known.hashes) + np.unique(key[kind != 2], return_inverse=True)[1]
+        key[kind == 3] = np.concatenate(others)
+        far, which = np.unique(key[kind != 1], return_inverse=True)
+        u[kind != 1] = known.contexts + which
+        rare_names, rare_spot = np.unique(w * (known.contexts + len(far)) + u, return_inverse=True)
         spot = np.concatenate([spot, rare_spot + len(names)]).astype(np.int32)
         doc = np.concatenate([*docs_, *rare_docs])
         n_pairs = len(names) + len(rare_names)
@@ -208,7 +220,7 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
         of = np.concatenate([*of, *rare_of])
         order = np.argsort(of, kind="stable")
         chunk = np.array(rows.column("chunk").to_pylist(), np.int64)
-        pairs = packed(np.diff(names, prepend=0), np.diff(rare_names, prepend=0), c.astype(np.int32) if c.max(initial=0) < 2**31 else c)
+        pairs = packed(np.diff(names, prepend=0), np.diff(rare_names, prepend=0), c.astype(np.int32) if c.max(initial=0) < 2**31 else c, np.diff(far, prepend=np.uint64(0)))
         places = packed(chunk, np.searchsorted(of[order], np.arange(len(chunk) + 1)), np.diff(spot[order], prepend=np.int32(0)), (doc[order] >> 1).astype(np.uint16))
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "chunk": pa.nulls(1, pa.int64()), "pairs": pa.array([pairs], pa.binary()), "places": pa.array([places], pa.binary())})
 
@@ -216,12 +228,27 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
     return written(rows.groupBy("bucket").applyInArrow(gather, "bucket long, chunk long, pairs binary, places binary"), "lm-buckets")
 
 
-def pairs_of(blob: bytes, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's pairs: common word or -1 less the rare word's number, context, training count."""
-    common, rare, c = unpacked(blob)
-    common, rare = np.cumsum(common), np.cumsum(rare)
-    w = np.concatenate([common // contexts, -1 - rare // contexts])
-    return w.astype(np.int32), np.concatenate([common % contexts, rare % contexts]).astype(np.int32), c
+def pairs_of(blob: bytes, known: Words) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """A bucket's pairs: common word or -1 less the rare word's number, context, training count; and the hashes of its rare contexts."""
+    common, rest, c, far = unpacked(blob)
+    common, rest = np.cumsum(common), np.cumsum(rest)
+    with np.errstate(over="ignore"):
+        far = np.cumsum(far, dtype=np.uint64)
+    rare, n = rest // (known.contexts + len(far)), len(known.hashes)
+    w = np.concatenate([common // known.contexts, np.where(rare < n, rare, n - 1 - rare)])
+    return (w.astype(np.int32), np.concatenate([common % known.contexts, rest % (known.contexts + len(far))]).astype(np.int32), c), far
+
+
+def far_of(states: list | None, n: int, passes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a bucket's n rare contexts: their tables after each pass so far, their customers, and whether their tables may change."""
+    known = {x["sweep"]: unpacked(x["blob"]) for x in states or []}
+    first, customers, moves = known.get(0, (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)))
+    tables = []
+    for k in range(passes):
+        tables.append(first.copy())
+        if k and moves.any():
+            tables[-1][moves] = known[k][0]
+    return tables, customers, moves
 
 
 def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -249,7 +276,7 @@ def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discou
 
 @dataclass(frozen=True)
 class Sweep:
-    """What a sweep leaves for all: tables by context, tables and root tables of the common words, strengths (root, context), root totals."""
+    """What a sweep leaves for all: tables by common context, tables and root tables of the common words, strengths (root, context), root totals."""
 
     tables: np.ndarray
     common: np.ndarray
@@ -270,8 +297,8 @@ def reseated_root(tables: np.ndarray, root: np.ndarray, s: Sweep, v: int, rng: n
     return seated(tables, others, np.full(len(tables), 1 / (v + 1)), DISCOUNTS[0], rng)
 
 
-def replayed(bucket: int, pairs: tuple[np.ndarray, ...], sweeps: list[Sweep], known: Words, seed: int, last: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A bucket's (tables of pairs, tables of rare words, their root tables) after the start and each sweep; ``last``: one sweep more than given."""
+def replayed(bucket: int, pairs: tuple[np.ndarray, ...], sweeps: list[Sweep], known: Words, seed: int, last: bool, far: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A bucket's (tables of pairs, tables of rare words, their root tables) after the start and each sweep; ``last``: one sweep more than given; ``far``: tables of its rare contexts at each."""
     w, u, c = pairs
     rare = w < 0
     word = -1 - w[rare]
@@ -285,62 +312,130 @@ def replayed(bucket: int, pairs: tuple[np.ndarray, ...], sweeps: list[Sweep], kn
         root = np.empty(len(w))
         root[rare] = root_probability(rare_tables, rare_root, s, known.v)[word]
         root[~rare] = root_probability(s.common[w[~rare]], s.common_root[w[~rare]], s, known.v)
-        tables = seated(c.astype(np.int64), s.strengths[1] + DISCOUNTS[1] * np.maximum(s.tables[u] - tables, 0), root, DISCOUNTS[1], rng)
+        on = np.concatenate([s.tables, far[k]]) if far else s.tables
+        tables = seated(c.astype(np.int64), s.strengths[1] + DISCOUNTS[1] * np.maximum(on[u] - tables, 0), root, DISCOUNTS[1], rng)
         rare_tables = np.bincount(word, tables[rare], n_rare).astype(np.int64)
         states.append((tables, rare_tables, reseated_root(rare_tables, rare_root, s, known.v, rng)))
     return states
 
 
-def strength(current: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> float:
-    """A draw of a strength given its restaurants' customers and tables, with auxiliary variables and a Gamma(1, 1) prior; long sums of coin flips by their mean."""
+def strength(current: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator, far: tuple[dict[int, int], dict[int, int]] = ({}, {})) -> float:
+    """A draw of a strength given its restaurants' customers and tables, with auxiliary variables and a Gamma(1, 1) prior; long sums of coin flips by their mean.
+
+    ``far``: how many further restaurants have so many customers (two at least), and
+    how many have so many tables. More than 1,000 draws of one kind come as one normal
+    draw of their sum.
+    """
     open_ = customers > 1
     c, t = customers[open_].astype(float), np.maximum(tables[open_], 1).astype(float)
-    if not len(c):
+    if not len(c) and not far[0]:
         return current
     logs = np.log(np.maximum(rng.beta(current + 1, c - 1), 1e-300)).sum()
+    for n, times in sorted(far[0].items()):
+        if times > 1000:
+            each = 1 / (current + 1 + np.arange(n - 1))
+            logs += rng.normal(-times * each.sum(), math.sqrt(times * (each * each).sum()))
+        else:
+            logs += np.log(np.maximum(rng.beta(current + 1, n - 1, times), 1e-300)).sum()
     r = current / discount
-    flips = (r * (np.log((t - 0.5 + r) / (0.5 + r)))).sum()
+    flips = (r * (np.log((t - 0.5 + r) / (0.5 + r)))).sum() + sum(times * r * math.log((max(n, 1) - 0.5 + r) / (0.5 + r)) for n, times in sorted(far[1].items()))
     return float(np.clip(rng.gamma(1 + flips, 1 / (1 - logs)), 0.01, 1e6))
 
 
-def sampled(buckets: DataFrame, known: Words, sweeps: int, seed: int) -> tuple[list[Sweep], np.ndarray]:
-    """The start and all sweeps, and the customers of each context. A sweep is a pass over the pairs and a sum of at most two numbers a context or common word from each task."""
+def shared(rows: DataFrame, k: int) -> DataFrame:
+    """From rows (bucket, id, n, c, moves) a row a bucket: its rare contexts' sums over all buckets, in the order of their hashes.
+
+    ``keys`` and ``times`` count contexts of two customers or more, each in the first
+    of its buckets: 3 x customers, 3 x tables + 1 where they stay, + 2 where they move.
+    """
+    one = Window.partitionBy("id")
+    sums = rows.select("bucket", "id", F.sum("n").over(one).alias("n"), F.sum("c").over(one).alias("c"), F.max("moves").over(one).alias("moves"), (F.min("bucket").over(one) == F.col("bucket")).alias("first"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        ids, n, c, moves, first = (rows.column(x).to_numpy() for x in ("id", "n", "c", "moves", "first"))
+        order = np.argsort(ids.view(np.uint64))
+        mine = first & (c > 1)
+        keys, times = np.unique(np.concatenate([3 * c[mine], 3 * n[mine] + 1 + (moves[mine] > 0)]), return_counts=True)
+        blob = packed(n[order]) if k else packed(n[order], c[order], moves[order] > 0)
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "sweep": pa.array([k], pa.int64()), "blob": pa.array([blob], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
+
+    return written(sums.groupBy("bucket").applyInArrow(pack, "bucket long, sweep long, blob binary, keys array<long>, times array<long>"), "lm-contexts")
+
+
+def with_states(buckets: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Buckets with ``states``: what is known of their rare contexts after the start and each sweep so far."""
+    if not tables:
+        return buckets.withColumn("states", F.lit(None).cast("array<struct<sweep:bigint,blob:binary>>"))
+    rows = tables[0]
+    for x in tables[1:]:
+        rows = rows.unionByName(x)
+    states = rows.groupBy("bucket").agg(F.collect_list(F.struct("sweep", "blob")).alias("states"))
+    return buckets.join(states.hint("shuffle_hash"), "bucket", "left")
+
+
+def sampled(buckets: DataFrame, known: Words, sweeps: int, seed: int) -> tuple[list[Sweep], np.ndarray, list[DataFrame]]:
+    """The start and all sweeps, the customers of each common context, and the tables of rare contexts by bucket.
+
+    A sweep is a pass over the pairs, a sum of at most two numbers a common context or
+    common word from each task, and a sum by rare context.
+    """
     size, common = known.contexts, len(known.hashes)
     done: list[Sweep] = []
+    far_tables: list[DataFrame] = []
+    far_customers: dict[int, int] = {}
+    far_still: dict[int, int] = {}
     customers = np.zeros(size, np.int64)
     for k in range(sweeps + 1):
         before = list(done)
 
         def run(batches: Iterator[pa.RecordBatch], before: list[Sweep] = before) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * size + common + 1, np.int64)  # tables of contexts, customers of contexts, tables of common words, root tables of rare words
+            total = np.zeros(2 * size + common + 2, np.int64)  # tables of contexts, customers of contexts, tables of common words, root tables of rare words, all tables
             for b in batches:
-                for bucket, blob in zip(b.column(0), b.column(1), strict=True):
-                    w, u, c = pairs = pairs_of(blob.as_buffer(), known.contexts)
-                    tables, _, root = replayed(bucket.as_py(), pairs, before, known, seed, last=True)[-1]
-                    total[:size] += np.bincount(u, tables, size).astype(np.int64)
+                for bucket, blob, states in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                    (w, u, c), ids = pairs_of(blob.as_buffer(), known)
+                    far, _, moves = far_of(states.as_py(), len(ids), len(before))
+                    tables, _, root = replayed(bucket.as_py(), (w, u, c), before, known, seed, last=True, far=far)[-1]
+                    by_context = np.bincount(u, tables, size + len(ids)).astype(np.int64)
+                    total[:size] += by_context[:size]
+                    n, c_far, may = by_context[size:], np.zeros(len(ids), np.int64), moves
                     if not before:
-                        total[size : 2 * size] += np.bincount(u, c, size).astype(np.int64)
-                    total[2 * size : -1] += np.bincount(w[w >= 0], tables[w >= 0], common).astype(np.int64)
-                    total[-1] += int(root.sum())
+                        by_context = np.bincount(u, c, size + len(ids)).astype(np.int64)
+                        total[size : 2 * size] += by_context[:size]
+                        c_far, may, moves = by_context[size:], np.bincount(u, c > 1, size + len(ids))[size:] > 0, np.ones(len(ids), bool)
+                    total[2 * size : -2] += np.bincount(w[w >= 0], tables[w >= 0], common).astype(np.int64)
+                    total[-2:] += int(root.sum()), int(tables.sum())
+                    yield batch(np.full(moves.sum(), bucket.as_py()), ids[moves].view(np.int64), n[moves], c_far[moves], may[moves])
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
-
-        got = buckets.filter("bucket >= 0").select("bucket", "pairs").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-        total = np.zeros(2 * size + common + 1, np.int64)
+            none = np.zeros(len(at), np.int64)
+            yield batch(none - 1, at, total[at], none, none)
+
+        def batch(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns[:4]] + [pa.array(columns[4].astype(np.int32))], ["bucket", "id", "n", "c", "moves"])
+
+        pairs = with_states(buckets.filter("bucket >= 0").select("bucket", "pairs"), far_tables).select("bucket", "pairs", "states")
+        passed = written(pairs.mapInArrow(run, "bucket long, id long, n long, c long, moves int"), "lm-sweep")
+        got = passed.filter("bucket < 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        far_tables.append(shared(passed.filter("bucket >= 0"), k))
+        seen = far_tables[-1].select(F.explode(F.arrays_zip("keys", "times")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.times").alias("times")).collect()
+        some = [{r.key // 3: r.times for r in seen if r.key % 3 == kind} for kind in range(3)]
+        released(buckets.sparkSession)
+        total = np.zeros(2 * size + common + 2, np.int64)
         total[got.column("id").to_numpy()] = got.column("n").to_numpy()
         if not before:
             customers = total[size : 2 * size]
+            far_customers, far_still = some[0], some[1]
         rng = np.random.default_rng([seed, 2**32 + k])
-        tables, on = total[:size], total[2 * size : -1]
+        tables, on = total[:size], total[2 * size : -2]
         if before:
             root = reseated_root(on, before[-1].common_root, before[-1], known.v, rng)
         else:
             root = np.minimum(on, 1)
-        n_root, t_root = int(tables.sum()), int(root.sum() + total[-1])
+        n_root, t_root = int(total[-1]), int(root.sum() + total[-2])
         start = before[-1].strengths if before else (10.0, 10.0)
-        strengths = (strength(start[0], DISCOUNTS[0], np.array([n_root]), np.array([t_root]), rng), strength(start[1], DISCOUNTS[1], customers, tables, rng))
+        both = {n: far_still.get(n, 0) + some[2].get(n, 0) for n in far_still | some[2]}
+        strengths = (strength(start[0], DISCOUNTS[0], np.array([n_root]), np.array([t_root]), rng), strength(start[1], DISCOUNTS[1], customers, tables, rng, (far_customers, both)))
         done.append(Sweep(tables, on, root, strengths, n_root, t_root))
-    return done, customers
+    return done, customers, far_tables
 
 
 def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) -> DataFrame:
@@ -359,29 +454,33 @@ def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) ->
     known = counted(rows)
     buckets = dealt(rows, known)
     released(docs.sparkSession)
-    done, customers = sampled(buckets, known, sweeps, seed)
+    done, customers, far_tables = sampled(buckets, known, sweeps, seed)
     used = range(burn_in + 1, sweeps + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         first = None
         for b in batches:
-            for bucket, blob, where in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for bucket, blob, where, given in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 first = bucket.as_py() if first is None else first
-                w, u, c = pairs = pairs_of(blob.as_buffer(), known.contexts)
+                pairs, ids = pairs_of(blob.as_buffer(), known)
+                w, u, c = pairs
+                far, far_customers, _ = far_of(given.as_py(), len(ids), len(done))
+                all_customers = np.concatenate([customers, far_customers])
                 chunk, cuts, spot, doc = unpacked(where.as_buffer())
                 spot = np.cumsum(spot, dtype=np.int32)
-                states = replayed(bucket.as_py(), pairs, done, known, seed, last=False)
+                states = replayed(bucket.as_py(), pairs, done, known, seed, last=False, far=far)
                 rare = w < 0
                 word = -1 - w[rare]
                 p = np.zeros(len(w))
                 for k in used:
                     tables, rare_tables, rare_root = states[k]
                     s = done[k]
+                    on = np.concatenate([s.tables, far[k]]) if far else s.tables
                     root = np.empty(len(w))
                     root[rare] = root_probability(rare_tables, rare_root, s, known.v)[word]
                     root[~rare] = root_probability(s.common[w[~rare]], s.common_root[w[~rare]], s, known.v)
-                    p += (np.maximum(c - DISCOUNTS[1] * tables, 0) + (s.strengths[1] + DISCOUNTS[1] * s.tables[u]) * root) / (s.strengths[1] + customers[u])
+                    p += (np.maximum(c - DISCOUNTS[1] * tables, 0) + (s.strengths[1] + DISCOUNTS[1] * on[u]) * root) / (s.strengths[1] + all_customers[u])
                 del states
                 logs = np.log10(p / len(used))
                 count = np.bincount(word, c[rare], int(word.max(initial=-1)) + 1)[word]
@@ -423,7 +522,8 @@ def scored(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1) ->
         base = total[1] - lengths * math.log10(known.n + 0.1 * (known.v + 1))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(total[2].round().astype(np.int64)), "train_tokens": pa.array([known.n] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(total[0])})
 
-    scores = buckets.filter("bucket >= 0").select("bucket", "pairs", "places").mapInArrow(score, "chunk long, bucket long, blob binary")
+    placed = with_states(buckets.filter("bucket >= 0").select("bucket", "pairs", "places"), far_tables)
+    scores = placed.select("bucket", "pairs", "places", "states").mapInArrow(score, "chunk long, bucket long, blob binary")
     heads = buckets.filter("bucket < 0").select("chunk", "bucket", F.col("places").alias("blob"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return scores.unionByName(heads).groupBy("chunk").applyInArrow(assemble, schema)

@@ -330,6 +330,38 @@ def test_lm_without_training_rows(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, round(r.score, 9), round(r.base_score, 9)) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_lm_rare_contexts_stay_apart(spark, monkeypatch):
+    """Beyond the common words a context is its word and no other's, and the scores are those of a table where all words are common."""
+    seen = {}
+    for i in range(10_000):
+        first = seen.setdefault(xxhash.xxh3_64_intdigest(f"w{i}".encode()) % 4096, f"w{i}")
+        if first != f"w{i}":
+            break
+    second = f"w{i}"
+    ids = iter(i for i in range(4000) if zlib.crc32(str(i).encode()) % 10)
+    rng = random.Random(5)
+    rows = [(next(ids), f"{a} {b} {rng.choice('pqrst')}{rng.randrange(40)}") for a, b in ((first, "left"), (second, "right")) for _ in range(300)]
+    held = [i for i in range(10**5) if zlib.crc32(str(i).encode()) % 10 == 0][-4:]
+    rows += list(zip(held, [f"{first} left", f"{first} right", f"{second} right", "q1 unseen left"], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.score for r in pitman_yor.scored(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "COMMON", 2)
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 400)
+    found = {r.doc_id: r.score for r in pitman_yor.scored(docs).collect()}
+    assert found[held[0]] > found[held[1]] + 0.5
+    # Two seeds differ by as much as 0.4 in one document.
+    assert max(abs(found[i] - want[i]) for i in want) < 0.8 and np.mean(list(found.values())) == pytest.approx(np.mean(list(want.values())), rel=0.04)
+
+
+def test_strength_of_counted_restaurants():
+    """Restaurants given by counts draw as those given one by one, few and many of a kind."""
+    c, t = np.repeat([2, 3, 9], [1500, 40, 7]), np.repeat([1, 2, 5], [1500, 40, 7])
+    none = np.zeros(0, np.int64)
+    one = [pitman_yor.strength(2.0, 0.75, c, t, np.random.default_rng(i)) for i in range(200)]
+    some = [pitman_yor.strength(2.0, 0.75, none, none, np.random.default_rng(i), ({2: 1500, 3: 40, 9: 7}, {1: 1500, 2: 40, 5: 7})) for i in range(200)]
+    assert np.mean(some) == pytest.approx(np.mean(one), rel=0.03)
+
+
 def test_predictive_masses_sum_to_one():
     """Over all known words and one unknown, in every context, from the state that the sampler leaves."""
     draw = np.random.default_rng(2)
