@@ -210,3 +210,13 @@ def test_joins(spark):
 def test_blends(spark, mode, expected):
     df = spark.createDataFrame([(0.6, 0.4), (0.6, None)], "s double, p double")
     assert [round(r[0], 6) for r in df.select(scores.blended(F.col("s"), F.col("p"), mode)).collect()] == [expected, 0.6]
+
+
+def test_every_answered_pair_is_merged(spark):
+    from flockline.plans.identity import cl_constrained_partition
+    from flockline.plans.roles import judgments
+
+    sf = "/root/testdata/sf0.01"
+    found = cl_constrained_partition(spark, sf).select("l", "r")
+    want = judgments(spark, sf).select("l", "r").distinct()
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
