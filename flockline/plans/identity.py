@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flockline.functions import vectors as V
@@ -162,9 +162,9 @@ sh AS (SELECT p.l, p.r, count(*) AS shared, avg(least(x.score, y.score)) AS m, m
 SELECT p.l, p.r, round((coalesce(f, 11) + coalesce(p.b, 11)) / 2 / 124, 6) AS pct_mean, round(abs(coalesce(f, 11) - coalesce(p.b, 11)) / 124, 6) AS pct_gap, round((1 / coalesce(f, 11) + 1 / coalesce(p.b, 11)) / 2, 6) AS reciprocal_mean, (f IS NOT NULL AND p.b IS NOT NULL)::BIGINT AS mutual,
 coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / len(list_distinct(list_concat(x.s, y.s))), 6) AS shared_jaccard, round(coalesce(m, 0), 6) AS shared_mean, round(coalesce(sh.b, 0), 6) AS shared_best FROM p JOIN s x ON x.q = l JOIN s y ON y.q = r LEFT JOIN sh ON sh.l = p.l AND sh.r = p.r""")
 def vc_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VC14-18."""
+    """VC16 and VC18 of the top 10, and VC14 with 11 for every rank beyond; the dataset's size is counted. vc_rank_percentiles has the ranks over all scores."""
     top = near(spark, sf_dir, 10)
-    out = X.shared_neighbours(X.rank_features(top, 125, 10), top)
+    out = X.shared_neighbours(X.rank_features(top, dataset_size(spark, sf_dir), 10), top)
     return out.select("l", "r", *[F.round(c, 6).alias(c) for c in ("pct_mean", "pct_gap", "reciprocal_mean", "shared_jaccard", "shared_mean", "shared_best")], *[F.col(c).cast("bigint").alias(c) for c in ("mutual", "shared")])
 
 
@@ -179,6 +179,22 @@ def vc_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round(V.dot(F.col("v"), V.unit(F.col("m"))), 5).alias("to_centre"))
 
 
+def dataset_size(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of items in a pair's dataset, by its end l."""
+    n = {r.dataset: r["count"] for r in items(spark, sf_dir).groupBy("dataset").count().collect()}
+    return F.element_at(F.create_map(*[F.lit(x) for d in sorted(n) for x in (d, n[d])]), F.concat(F.lit("d"), (F.col("l") % 4).cast("string")))
+
+
+@query()
+def vc_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VC14: of pairs that are in a top 10 in one direction at least, the rank percentiles both ways over all scores of the dataset."""
+    p = pairs(spark, sf_dir)
+    both = p.select("dataset", F.col("l").alias("q"), F.col("r").alias("nbr"), "score").union(p.select("dataset", "r", "l", "score"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("dataset", "q").orderBy(F.desc("score"), "nbr")))
+    out = X.rank_features(ranked, dataset_size(spark, sf_dir), 10).where("least(rank_lr, rank_rl) <= 10")
+    return out.select("l", "r", "rank_lr", "rank_rl", "pct_lr", "pct_rl", "pct_mean", "pct_gap", "reciprocal_mean", "mutual")
+
+
 SEEDS = "seeds AS (SELECT id, label AS seed FROM emb WHERE id % 3 = 0)"
 
 
@@ -653,7 +669,7 @@ def rv_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rv_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RV14, RV16."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pair"))
-    return W.next_open(s, s.where("pair % 3 = 0"), "pair", "pair", 50, 100).select("pair")
+    return W.next_open(s, s.where("pair % 3 = 0"), "pair", "pair", 50, max(s.agg(F.max("pair")).first()[0] or 0, 51)).select("pair")
 
 
 @query("""WITH u AS (SELECT l_partkey::VARCHAR AS pair_key, l_discount AS score, l_tax AS local, l_discount / 10 AS raw, l_quantity AS inliers, 'orb' AS source FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey::VARCHAR, l_tax, l_discount, l_tax / 10, l_quantity / 2, 'sift' FROM lineitem WHERE l_returnflag = 'A')

@@ -220,3 +220,15 @@ def test_every_answered_pair_is_merged(spark):
     found = cl_constrained_partition(spark, sf).select("l", "r")
     want = judgments(spark, sf).select("l", "r").distinct()
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_ranks_and_sizes_follow_the_tables(spark):
+    """At sf0.1 a dataset has 500 items and there are 1,000 suppliers."""
+    from flockline.plans.identity import dataset_size, rv_next, vc_rank_percentiles
+
+    assert [r.pair for r in rv_next(spark, "/root/testdata/sf0.1").collect()] == [52]
+    sizes = spark.range(4).withColumnRenamed("id", "l").select(dataset_size(spark, "/root/testdata/sf0.1").alias("n")).collect()
+    assert [r.n for r in sizes] == [500] * 4
+    ranks = vc_rank_percentiles(spark, "/root/testdata/sf0.001").collect()
+    assert max(max(r.rank_lr, r.rank_rl) for r in ranks) > 11
+    assert all(0 < r.pct_mean <= 1 and abs(r.pct_lr - r.rank_lr / 124) < 1e-9 for r in ranks)
