@@ -70,6 +70,7 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
     root = Node("html", None)
     nodes, stream, at, place = [root], [], root, 0
     articles = 0  # open article and main elements
+    has_body = False
     while True:
         m = TOKEN.search(page, place)
         end = m.start() if m else len(page)
@@ -102,7 +103,8 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
                 at = up.parent
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in nodes[:64]):
+            if tag == "body" and not has_body:
+                has_body = True
                 at = Node("body", root)
                 root.children.append(at)
                 nodes.append(at)

@@ -418,6 +418,14 @@ def test_main_text():
     assert density_html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_second_body_after_a_long_head():
+    """A second body tag is ignored however many elements the head has."""
+    for n in (3, 200):
+        page = "<html><head>" + "<meta name=x>" * n + "</head><body><article><p>" + "First words of it. " * 9 + "</p><body><p>" + "Last words of it. " * 9 + "</p></article></body></html>"
+        _, nodes, _ = density_html.parse(page)
+        assert sum(x.tag == "body" for x in nodes) == 1
+
+
 def test_extracted(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     assert many((r.page_id, r.url, r.text, r.n_chars) for r in density_html.extracted(pages).collect()) == many([(i, u, t := density_html.main_text(h), len(t)) for i, u, h in ((1, "u", PAGE), (None, None, None), (1, "u", PAGE))])
