@@ -16,7 +16,7 @@ from flockline.operators import ranking as R
 from flockline.operators import review as W
 from flockline.operators import scores as X
 from flockline.plans.catalog import query
-from flockline.plans.roles import DIRS, EMB, IMG, JDG, PRS, REG, comp_sql, half_sql, images, items, judgments, registry, route, top_sql
+from flockline.plans.roles import DIRS, EMB, IMG, JDG, PRS, REG, comp_sql, half_sql, images, items, judgments, registry, route, top_sql, whole_registry
 from flockline.sources.tables import table
 
 T = 0.30  # a score threshold that suits these vectors
@@ -369,8 +369,17 @@ def cl_singleton_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EMB}, {REG}, nodes AS (SELECT l AS id FROM reg UNION SELECT r FROM reg), m AS (SELECT l, r FROM reg WHERE constraint_type = 'must_link' AND support > 9), {comp_sql('nodes', 'm')} SELECT c.component, count(*) AS size, (SELECT count(*) FROM m JOIN comp a ON a.id = l WHERE a.component = c.component) AS must_links, (SELECT count(*) FROM reg JOIN comp a ON a.id = l JOIN comp b ON b.id = r WHERE constraint_type = 'cannot_link' AND a.component = b.component AND a.component = c.component) AS conflicts FROM comp c GROUP BY 1")
 def cl_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL38-40, CL51, CL58, JN32."""
-    r = registry(spark, sf_dir)
+    """CL38-40, CL51, CL58, JN32: on the folded registry, as the SQL has it; cl_constraints_whole has all supplies."""
+    return constraint_components(registry(spark, sf_dir))
+
+
+@query()
+def cl_constraints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL38-40, CL51, CL58, JN32 over all parts and suppliers."""
+    return constraint_components(whole_registry(spark, sf_dir))
+
+
+def constraint_components(r: DataFrame) -> DataFrame:
     nodes = r.select(F.col("l").alias("id")).union(r.select(F.col("r").alias("id"))).distinct()
     return G.constrained_components(nodes, r.where("constraint_type = 'must_link' and support > 9"), r.where("constraint_type = 'cannot_link'"))[1]
 
@@ -430,8 +439,17 @@ def cl_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EMB}, {REG}, m AS (SELECT l AS id, l % 7 AS cluster FROM reg UNION SELECT r, r % 7 FROM reg) SELECT round(sum(support) FILTER (WHERE a.cluster = b.cluster AND constraint_type = 'must_link') / sum(support) FILTER (WHERE constraint_type = 'must_link'), 6) AS must_agreement, round(sum(support) FILTER (WHERE a.cluster <> b.cluster AND constraint_type = 'cannot_link') / sum(support) FILTER (WHERE constraint_type = 'cannot_link'), 6) AS cannot_agreement, round(sum(support) FILTER (WHERE (a.cluster = b.cluster) = (constraint_type = 'must_link')) / sum(support), 6) AS agreement, count(*) AS pairs FROM reg JOIN m a ON a.id = l JOIN m b ON b.id = r")
 def cl_constraint_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL57."""
-    r = registry(spark, sf_dir)
+    """CL57: on the folded registry, as the SQL has it; cl_constraint_agreement_whole has all supplies."""
+    return agreement_by_seven(registry(spark, sf_dir))
+
+
+@query()
+def cl_constraint_agreement_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL57 over all parts and suppliers."""
+    return agreement_by_seven(whole_registry(spark, sf_dir))
+
+
+def agreement_by_seven(r: DataFrame) -> DataFrame:
     nodes = r.select(F.col("l").alias("id")).union(r.select(F.col("r").alias("id"))).distinct().withColumn("cluster", F.col("id") % 7)
     return P.constraint_agreement(nodes, r, "id", "cluster")
 
@@ -692,11 +710,18 @@ def rv_cluster_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT CASE WHEN n_chars <= 500 THEN 0 WHEN n_chars <= 1500 THEN 1 WHEN n_chars <= 4000 THEN 2 END AS bin, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 0 AND n_chars <= 4000)
 SELECT t.bin::BIGINT AS bin, count(b.bin) AS rows, count(quality) AS reviewed, round(avg(quality), 6) AS match_rate FROM range(4) t(bin) LEFT JOIN b ON b.bin = t.bin GROUP BY 1""")
 def rv_bin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RV22, RV23, RV26: the last bin is empty."""
+    """RV22, RV23, RV26: the last bin is empty, as the SQL has it; rv_bin_rates_whole counts all documents."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("n_chars <= 4000")
     return W.bin_rates(d, "n_chars", "quality", [0, 500, 1500, 4000, 100000]).withColumn("bin", F.col("bin").cast("bigint"))
 
 
+@query()
+def rv_bin_rates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RV22, RV23, RV26 over all documents: the last bin is open."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return W.bin_rates(d, "n_chars", "quality", [0, 500, 1500, 4000, float("inf")]).withColumn("bin", F.col("bin").cast("bigint"))
+
+
 @query("""WITH r AS (SELECT s_suppkey AS k, unnest([1, 3]) AS rank, [s_suppkey + 1, s_suppkey - 1, s_suppkey + 7] AS n FROM supplier), p AS (SELECT k, rank, n[rank] AS m FROM r) SELECT least(k, m) AS l, greatest(k, m) AS r, count(*) AS support, quantile_cont(rank, 0.5) AS median_rank FROM p WHERE k <> m GROUP BY 1, 2""")
 def rv_selected_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RV24, RV25, RV28."""

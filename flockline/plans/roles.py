@@ -50,6 +50,13 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l", "r", F.when(2 * F.col("returns") > F.col("support"), "cannot_link").otherwise("must_link").alias("constraint_type"), "support")
 
 
+def whole_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All supplies as constraints between parts (even ids) and suppliers (odd ids): l, r, constraint_type, support."""
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy((2 * F.col("l_partkey")).alias("l"), (2 * F.col("l_suppkey") + 1).alias("r")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
+    return g.select("l", "r", F.when(2 * F.col("returns") > F.col("support"), "cannot_link").otherwise("must_link").alias("constraint_type"), "support")
+
+
 EMB = "emb AS (SELECT vec_id AS id, 'd' || (vec_id % 4)::VARCHAR AS dataset, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings)"
 PRS = f"{EMB}, prs AS (SELECT a.dataset, a.id AS l, b.id AS r, list_dot_product(a.v, b.v) AS score, a.label AS ll, b.label AS rl FROM emb a JOIN emb b ON a.dataset = b.dataset AND a.id < b.id)"
 DIRS = f"{PRS}, dirs AS (SELECT dataset, l AS q, r AS nbr, score FROM prs UNION ALL SELECT dataset, r, l, score FROM prs)"

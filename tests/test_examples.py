@@ -232,3 +232,13 @@ def test_ranks_and_sizes_follow_the_tables(spark):
     ranks = vc_rank_percentiles(spark, "/root/testdata/sf0.001").collect()
     assert max(max(r.rank_lr, r.rank_rl) for r in ranks) > 11
     assert all(0 < r.pct_mean <= 1 and abs(r.pct_lr - r.rank_lr / 124) < 1e-9 for r in ranks)
+
+
+def test_whole_registry_and_bins(spark):
+    from flockline.plans import identity, roles
+
+    sf = "/root/testdata/sf0.01"
+    assert identity.rv_bin_rates_whole(spark, sf).groupBy().sum("rows").first()[0] == roles.table(spark, sf, "documents").where("n_chars > 0").count()
+    pairs = roles.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().count()
+    assert identity.cl_constraint_agreement_whole(spark, sf).first().pairs == pairs
+    assert identity.cl_constraints_whole(spark, sf).count() > 0
