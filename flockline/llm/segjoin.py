@@ -6,6 +6,9 @@ m = H + 1 segments of the universe; so two such sets agree in one segment at
 least. Sets meet in a size band: a band's bounds are a factor 1 / d apart, so a
 set indexes its segments under its own band and, where a smaller partner can lie
 there, under the one below.
+
+What is returned are components, not pairs: pairs inside a component are not all
+verified, so verified_links is a lower bound of a class's links.
 """
 
 from __future__ import annotations
