@@ -2,10 +2,25 @@
 
 Two sets of sizes s <= l with Jaccard similarity of at least d differ in at most
 H = floor((1 - d) / (1 + d) * (s + l)) elements. Shingle hashes fall into
-m = H + 1 segments of the universe; so two such sets agree in one segment at
-least. Sets meet in a size band: a band's bounds are a factor 1 / d apart, so a
-set indexes its segments under its own band and, where a smaller partner can lie
-there, under the one below.
+m segments of the universe, one more than H can be in the set's size band. A
+band's bounds are a factor 1 / d apart, so a set indexes its segments under its
+own band and, where a smaller partner can lie there, under the one below.
+
+Each set allots its segments the values 0 (not looked up), 1 (looked up whole) or
+2 (looked up with one-deletion neighbours), by cost:
+
+* A pair that agrees in e segments only differs in the m - e others, at least once
+  in each. With slack = m - 1 - H that needs e > slack, and then at most
+  e - 1 - slack of those others differ by two elements or more.
+* So a set may give the value 0 to ``slack`` segments for nothing, and to e > slack
+  if its first 2 e - slack segments, in the order of the universe, get the value 2:
+  whatever its partner has chosen, their common run of such segments has one outside
+  the agreed ones that differs by exactly one element. That holds up to
+  e = (m + slack) / 2.
+* A segment without elements costs most, as every set has some: it is the first to
+  get 0. Others cost what is measured, see ``allotted``. The cost belongs to a
+  segment's content, so both of a pair that agrees there know it alike; a content
+  is looked up if either set does not drop it.
 
 What is returned are components, not pairs: pairs inside a component are not all
 verified, so verified_links is a lower bound of a class's links.
@@ -20,18 +35,17 @@ from math import floor, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from flockline.llm.common import written
+from flockline.llm.common import discard, shuffles_removed, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: A segment whose sets lie in more components than this is costly: it gets no equal matches, and its sets' other segments get one-deletion neighbours.
-COSTLY = 64
-#: Marks of the classes whose sets are asked for: a filter of 1 MB. Classes without a pair may share a mark; they are dropped later.
-MARKS = 1 << 23
-#: How many of a signature's classes the others are tried with, round by round, before all pairs that are left.
-HEADS = (1, 8)
+#: A candidate pair costs about as much as so many signatures: it travels four times with 32 bytes and more, a signature once with 16.
+PAIR_COST = 8.0
+#: Marks of the classes whose sets are asked for: bits a class, and the most bits (32 MB). Classes without a pair may share a mark; a join drops them later.
+MARKS_EACH, MARKS_MOST = 16, 1 << 28
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,27 +61,34 @@ class Shingler:
     def __init__(self, n: int) -> None:
         self.n, self.cache = n, {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, bytes]:
-        words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64), b""
+    def words(self, text: str) -> tuple[np.ndarray, bytes]:
+        """The hashes of a text's words, and their digest; empty without words."""
+        found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
         cache = self.cache
         if len(cache) > 500_000:
             cache.clear()
-        ids = []
-        for w in words:
-            h = cache.get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
+        ids = list(map(cache.get, found))
+        if None in ids:
+            for i, h in enumerate(ids):
+                if h is None:
+                    ids[i] = cache[found[i]] = xxhash.xxh3_64_intdigest(found[i])
         h = np.array(ids, np.uint64)
-        digest = xxhash.xxh3_128_digest(h.tobytes())
+        return h, xxhash.xxh3_128_digest(h.tobytes()) if ids else b""
+
+    def shingles(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
         n = min(self.n, len(h))
         with np.errstate(over="ignore"):
             out = np.full(len(h) - n + 1, len(h) if len(h) < self.n else self.n, np.uint64)
             for k in range(n):
                 out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-        return np.unique(out), digest
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
+
+    def __call__(self, text: str) -> tuple[np.ndarray, bytes]:
+        h, digest = self.words(text)
+        return self.shingles(h), digest
 
 
 class Bands:
@@ -104,6 +125,11 @@ class Bands:
         """The bands in which a set of this size can have a smaller or equal partner, and its own."""
         return list(range(self.of(-(-size * self.percent // 100)), self.of(size) + 1))
 
+    def slack(self, band: int, size: int) -> int:
+        """The segments of a band beyond those that a pair with a set of this size needs."""
+        other = min(size, self.low(band + 1) - 1) if size >= self.low(band + 1) else size * 100 // self.percent
+        return self.segments(band) - 1 - (100 - self.percent) * (size + other) // (100 + self.percent)
+
 
 def parts(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a sorted set: where each of the m segments begins (and the last ends), and the sum of each one's mixed elements."""
@@ -131,20 +157,42 @@ def signature(band: int, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
         return mixed(sums + mixed(numbers.astype(np.uint64) + np.uint64((band + 1) << 40))).view(np.int64)
 
 
+def neighbours(band: int, s: np.ndarray, m: int, first: int) -> list[np.ndarray]:
+    """Signatures of the first so many of m segments: of each one itself and of itself without each one of its elements."""
+    starts, sums = parts(s, m)
+    one = spread(s[: starts[first]])
+    with np.errstate(over="ignore"):
+        return [signature(band + 4096, np.full(starts[k + 1] - starts[k] + 1, k), np.append(sums[k] - one[starts[k] : starts[k + 1]], sums[k])) for k in range(first)]
+
+
+def indexed(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """All signatures that a set is looked up by before costs are measured: empty segments get the value 0 as far as that is exact."""
+    out = []
+    for band in bands.used(len(s)):
+        m = bands.segments(band)
+        starts, sums = parts(s, m)
+        full = np.diff(starts) > 0
+        slack, e = bands.slack(band, len(s)), int(m - full.sum())
+        out.append(signature(band, np.arange(m), sums)[full if 2 * e <= m + slack else slice(None)])
+        if e > slack:
+            out += neighbours(band, s, m, min(m, 2 * e - slack))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
-def components(nodes: DataFrame, links: DataFrame, node: str, rounds: int = 40) -> DataFrame:
-    """``node``, component: the least node reachable by ``links`` (a, b), by alternating large and small stars.
+def components(nodes: DataFrame, links: DataFrame, node: str, name: str = "component", rounds: int = 40) -> DataFrame:
+    """``node`` and ``name``: the least node reachable by ``links`` (a, b), by alternating large and small stars.
 
     Each round's links are written and counted; stars halve the depth of trees, so
     rounds grow with the logarithm of the longest chain. Every step groups by node
     and takes a minimum before it joins; no component meets in one task.
     """
-    links = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = last = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     fingerprint, before = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))], None
     for _ in range(rounds):
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -153,13 +201,15 @@ def components(nodes: DataFrame, links: DataFrame, node: str, rounds: int = 40)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b")
         small = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        links, now = small, small.agg(*fingerprint).first()
+        discard(last)
+        links = last = small
+        now = small.agg(*fingerprint).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return nodes.join(links.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col(node) == F.col("__a"), "left").select(node, F.coalesce("__b", node).alias("component"))
+    return nodes.join(links.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col(node) == F.col("__a"), "left").select(node, F.coalesce("__b", node).alias(name))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,90 +247,89 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of classes with a signature in common, not in one component yet, one of them at least a probe; members: sig, class, component, and probe if not all are."""
-    if "probe" not in members.columns:
-        members = members.withColumn("probe", F.lit(True))
-    left = members.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("probe").alias("pa"))
-    right = members.select("sig", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("probe").alias("pb"))
-    return left.join(right, "sig").filter("ca < cb and (pa or pb)").select("a", "b").distinct()
-
-
-def between(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (sig, class) of signatures that still join different components, with their own (component) and how many they are (n)."""
-    placed = members.join(found, "class")
-    several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.approx_count_distinct("component").alias("n")).filter("x < y").select("sig", "n")
-    return written(placed.join(several, "sig"), "join-between")
-
-
-def neighbourhoods(sets: DataFrame, costly: DataFrame, percent: int) -> DataFrame:
-    """sig, class, probe: one-deletion neighbourhoods in place of costly segments.
-
-    ``costly`` has the costly signatures (sig) of each class. Say that a pair agrees
-    in costly segments only, and that h of a class's m = H + 1 segments are costly.
-    It differs from its partner in each of the m - h others, by at most H in all,
-    so in fewer than h of them by two or more; if 2 h <= m, then among any h others
-    one at least differs by a single element. So each class allots its h cheapest
-    others, those of fewest elements, the value 2 and its costly ones the value 0:
-    the rows with ``probe``. As its partner may choose otherwise, every class with a
-    costly segment in a band also indexes all its segments there. A segment gives
-    itself and itself without each one of its elements.
+def contracted(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (class, component) after further links (a, b): only the components that these touch are joined anew."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(placed.select(F.col("class").alias(end), F.col("component").alias(f"c{end}")), end)
+    ends = ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
+    joined_ = components(ends.select(F.col("a").alias("component")).union(ends.select("b")).distinct(), ends, "component", "least")
+    return written(placed.join(joined_, "component", "left").select("class", F.coalesce("least", "component").alias("component")), "join-components")
+
+
+def between(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members (sig, class) of signatures that still join different components, with their component and the signature's cost.
+
+    The cost is how many classes of other components its classes meet there, on average.
+    """
+    found = members.join(placed, "class")
+    each = found.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    several = each.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return written(found.join(several.select("sig", ((F.col("n") * F.col("n") - F.col("own")) / F.col("n")).alias("cost")), "sig"), "join-between")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): the least class of each component in a signature with the least class of the signature."""
+    heads = members.groupBy("sig", "component").agg(F.min("class").alias("b"))
+    first = heads.groupBy("sig").agg(F.min("b").alias("a"))
+    return heads.join(first, "sig").filter("a < b").select("a", "b").distinct()
+
+
+def allotted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sig, class, active: what each set is looked up by, once costs are measured; members: sig, class, component, cost.
+
+    Beyond the free ones, a segment gets the value 0 where its cost in candidates is
+    more than that of the two segments that get the value 2 instead, or as far as the
+    theorem at the top allows. Rows that are not active are met by active ones only.
     """
     bands = Bands(percent)
-    held = costly.groupBy("class").agg(F.collect_set("sig").alias("sigs"))
-    rows = sets.join(held, "class").select("class", "shingles", "sigs")
+    held = members.groupBy("class").agg(F.collect_list(F.struct("sig", "cost")).alias("held"))
+    rows = sets.join(held, "class").select("class", "shingles", F.col("held.sig").alias("sigs"), F.col("held.cost").alias("costs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 32):
-            names, sigs, probes, counts = [], [], [], []
-            for name, blob, hot in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                s, hot = np.frombuffer(blob.as_buffer(), "<u8"), np.array(hot.as_py(), np.int64)
+            names, sigs, active = [], [], []
+            for name, blob, known, costs in zip(*b.columns, strict=True):
+                s, known, costs = np.frombuffer(blob.as_buffer(), "<u8"), np.array(known.as_py(), np.int64), np.array(costs.as_py())
+                order = np.argsort(known)
+                known, costs, rest = known[order], costs[order], np.ones(len(order), bool)
                 for band in bands.used(len(s)):
-                    starts, sums = parts(s, bands.segments(band))
-                    dear = np.isin(signature(band, np.arange(len(sums)), sums), hot)
-                    if not dear.any():
-                        continue
-                    size = np.where(dear, len(s) + 1, np.diff(starts))
-                    chosen = set(np.argsort(size, kind="stable")[: min(dear.sum(), (~dear).sum())].tolist())
-                    mixed_s = spread(s)
-                    for k in range(len(sums)):
-                        with np.errstate(over="ignore"):
-                            found = np.append(sums[k] - mixed_s[starts[k] : starts[k + 1]], sums[k])
-                        sigs.append(signature(band + 4096, np.full(len(found), k), found))
-                        names.append(name.as_py())
-                        counts.append(len(found))
-                        probes.append(k in chosen)
-            where = np.repeat(np.arange(len(names)), counts)
-            columns = [pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), pa.array(names, pa.binary()).take(pa.array(where)), pa.array(probes, pa.bool_()).take(pa.array(where))]
-            yield pa.RecordBatch.from_arrays(columns, ["sig", "class", "probe"])
-
-    return rows.mapInArrow(run, "sig long, class binary, probe boolean").groupBy("sig", "class").agg(F.max("probe").alias("probe"))
-
-
-def stubborn(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``costly`` (sig, class, component) in a band where more than half of the class's segments are costly, so that neighbourhoods prove nothing."""
-    bands = Bands(percent)
-    held = costly.groupBy("class").agg(F.collect_set("sig").alias("sigs"))
+                    m = bands.segments(band)
+                    starts, sums = parts(s, m)
+                    at = np.searchsorted(known, own := signature(band, np.arange(m), sums))
+                    at[at == len(known)] = 0
+                    here = np.flatnonzero(known[at] == own)
+                    slack, empty = bands.slack(band, len(s)), int((np.diff(starts) == 0).sum())
+                    full = here[np.diff(starts)[here] > 0]
+                    cost = costs[at[full]]
+                    dear = int((cost >= 2 * (bands.low(band) / m + 1) / PAIR_COST).sum())
+                    drop = max(0, slack - empty, min(dear, (m + slack) // 2 - empty))
+                    gone = full[np.lexsort((own[full], -cost))[:drop]]
+                    e = empty + len(gone)
+                    rest[at[here]] = False
+                    found = [own[here], *(neighbours(band, s, m, min(m, 2 * e - slack)) if len(gone) and e > slack else [])]
+                    sigs += found
+                    n = sum(map(len, found))
+                    active.append(np.append(~np.isin(here, gone), np.ones(n - len(here), bool)))
+                    names += [name.as_py()] * n
+                sigs.append(known[rest])  # neighbours from the index
+                active.append(np.ones(int(rest.sum()), bool))
+                names += [name.as_py()] * int(rest.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(active) if active else np.zeros(0, bool))], ["sig", "class", "active"])
+
+    return rows.mapInArrow(run, "sig long, class binary, active boolean").groupBy("sig", "class").agg(F.max("active").alias("active"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 64):
-            names, sigs = [], []
-            for name, blob, hot in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                s, hot = np.frombuffer(blob.as_buffer(), "<u8"), np.array(hot.as_py(), np.int64)
-                for band in bands.used(len(s)):
-                    sums = parts(s, bands.segments(band))[1]
-                    own = signature(band, np.arange(len(sums)), sums)
-                    here = own[np.isin(own, hot)].tolist()
-                    if 2 * len(here) > len(sums):
-                        sigs += here
-                        names += [name.as_py()] * len(here)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(names, pa.binary())], ["sig", "class"])
 
-    found = sets.join(held, "class").select("class", "shingles", "sigs").mapInArrow(run, "sig long, class binary").distinct()
-    return costly.join(found, ["sig", "class"]).select("sig", "class", "component")
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of classes of different components with a signature in common that at least one of them is looked up by; members: sig, class, component, active."""
+    useful = members.groupBy("sig").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y")).filter("any and x < y").select("sig")
+    members = members.join(useful, "sig", "left_semi")
+    left = members.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("active").alias("xa"))
+    right = members.select("sig", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("active").alias("xb"))
+    return left.join(right, "sig").filter("a < b and ca <> cb and (xa or xb)").select("a", "b").distinct()
 
 
-def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text", costly: int = COSTLY) -> DataFrame:
+def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: ``key``, n_shingles, component_id, and verified_links: its class's verified links to others.
 
     Two documents link when 100 * intersection >= percent * union of their sets of
@@ -288,117 +337,101 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     least key reachable by links, itself included. Equal word sequences form a
     class, whose least key stands for it; only classes are joined.
 
-    1. One pass gives sizes and digests; copies collapse to classes.
-    2. Each class gives the signatures of its segments, once a task. Of the classes
-       that share one with a lesser class, each is verified on the whole sets with
-       the least such class; that gives components. Then, where a signature still
-       joins different components, with its first class and its first eight. A group
-       of near copies is mostly one component after that, without all its pairs.
-    3. Where a signature still joins different components, all pairs across them
-       are verified: no link is lost. Signatures that join more than ``costly``
-       components give way to one-deletion neighbourhoods of the sets' other segments,
-       unless a set has more costly segments than others.
+    1. One pass over the texts gives sizes, digests and signatures, each class's once
+       a task. Signatures are counted; those that are there twice name the classes
+       that a second pass writes the sets of.
+    2. Each class is verified on the whole sets with the least one that it shares a
+       signature with; that gives components. Then, where a signature still joins
+       different components, the least class of each with the least of all. A group of
+       near copies is mostly one component after that, without all its pairs.
+    3. Where a signature still joins different components, values are allotted by
+       measured cost, and all pairs across components that these leave are verified:
+       no link is lost.
 
     Texts without words, or null, are empty, link with nothing and are their own
     component; fewer words than a shingle are one shingle. A row with a null key
     links by its text; its component_id is null if all reachable keys are. Rows
-    with equal keys stay rows. An empty table gives none. Hashes of 64 bits stand
-    for shingles: two of a pair's n shingles collide with probability n**2 / 2**65.
+    with equal keys stay rows. An empty table gives none. ``key`` may be any type that
+    has an order. Hashes of 64 bits stand for shingles: two of a pair's n shingles
+    collide with probability n**2 / 2**65.
     """
+    spark = docs.sparkSession
     bands = Bands(percent)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
-        for b in batches:
-            found = [shingler(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for _, d in found], pa.binary()), pa.array([len(s) for s, _ in found], pa.int64())], ["key", "class", "n_shingles"])
-
-    measured = written(rows.mapInArrow(measure, rows.drop("text").schema.simpleString()[7:-1].replace("key:", "key ") + ", class binary, n_shingles long"), "join-classes")
-    classes = written(measured.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("first")), "join-first")
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        done: set[int] = set()
-        for b in sliced(batches, 256):
-            names, sigs, counts = [], [], []
+        done: set[bytes] = set()
+        for b in sliced(batches, 512):
+            digests, sizes, sigs = [], [], []
             for t in b.column(1):
                 s, digest = shingler(t.as_py() or "")
-                name = int.from_bytes(digest[:8], "big") >> 4
-                if not len(s) or name in done:
-                    continue
-                done.add(name)
-                for band in bands.used(len(s)):
-                    m = bands.segments(band)
-                    sigs.append(signature(band, np.arange(m), parts(s, m)[1]))
-                    names.append(name)
-                    counts.append(m)
-            if len(done) > 2_000_000:
+                digests.append(digest)
+                sizes.append(len(s))
+                sigs.append(indexed(s, bands) if len(s) and digest not in done else np.zeros(0, np.int64))
+                done.add(digest)
+            if len(done) > 1_000_000:
                 done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts))], ["sig", "name"])
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["key", "class", "n_shingles", "sigs"])
 
+    kind = StructType([rows.schema["key"], StructField("class", BinaryType()), StructField("n_shingles", LongType()), StructField("sigs", ArrayType(LongType()))])
+    measured = written(rows.mapInArrow(sign, kind), "join-signed")
     # A class goes by the first 60 bits of its digest here; classes that share them share candidates, no more.
-    # A task signs a class once, so copies meet once a task.
     name = F.conv(F.substring(F.hex("class"), 1, 15), 16, 10).cast("long")
-    named = written(classes.select("class", "first", name.alias("name")), "join-names")
-    one = Window.partitionBy("sig")
-    signed = rows.mapInArrow(sign, "sig long, name long").withColumn("least", F.min("name").over(one)).withColumn("most", F.max("name").over(one))
-    members = written(signed.filter("least < most").select("sig", "name").distinct().join(named, "name").select("sig", "class"), "join-members")
-    wanted = members.select("class").distinct()
-    marks = np.zeros(MARKS, bool)
-    marks[wanted.join(named, "class").select((F.col("name") % MARKS).alias("m")).distinct().toArrow().column("m").to_numpy()] = True
+    classes = written(measured.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("first")).withColumn("name", name), "join-classes")
+    signed = measured.select(F.explode("sigs").alias("sig"), name.alias("name"))
+    twice = written(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "join-twice")
+    # Copies in different tasks, and a set's own neighbours, count too; here they go.
+    met = written(signed.join(twice.hint("shuffle_hash"), "sig").distinct(), "join-met")
+    real = met.groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("sig")
+    members = written(met.join(real, "sig", "left_semi").join(classes, "name").select("sig", "class"), "join-members")
+    discard(twice, met)
+    wanted = written(members.select("class").distinct(), "join-wanted")
+    size = 1 << int(np.clip(wanted.count() * MARKS_EACH, 1 << 10, MARKS_MOST)).bit_length() - 1
+    with shuffles_removed(spark):
+        spots = wanted.join(classes, "class").select((F.col("name") % size).alias("m")).distinct().toArrow().column("m").to_numpy()
+    marks = np.zeros(size, bool)
+    marks[spots] = True
     marks = np.packbits(marks)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, asked = Shingler(shingle), np.unpackbits(marks).astype(bool)
+        shingler = Shingler(shingle)
         done: set[bytes] = set()
         for b in sliced(batches, 256):
             names, sets = [], []
             for t in b.column(1):
-                s, digest = shingler(t.as_py() or "")
-                if len(s) and asked[(int.from_bytes(digest[:8], "big") >> 4) % MARKS] and digest not in done:
+                h, digest = shingler.words(t.as_py() or "")
+                at = (int.from_bytes(digest[:8], "big") >> 4) % size
+                if len(h) and marks[at >> 3] >> (7 - at & 7) & 1 and digest not in done:
                     done.add(digest)
                     names.append(digest)
-                    sets.append(s.astype("<u8").tobytes())
+                    sets.append(shingler.shingles(h).astype("<u8"))
             if len(done) > 1_000_000:
                 done.clear()
-            columns = [pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array([parity(np.frombuffer(x, "<u8")) for x in sets], pa.binary())]
+            columns = [pa.array(names, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", "size", "parity"])
 
     sets = written(rows.mapInArrow(pack, "class binary, shingles binary, size long, parity binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "join-sets")
-    centred = members.join(members.groupBy("sig").agg(F.min("class").alias("a")), "sig").filter("a < class")
-    tried = written(centred.groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
+    least = members.groupBy("sig").agg(F.min("class").alias("a"))
+    tried = written(members.join(least, "sig").filter("a < class").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
     links = written(verified(tried, sets, percent), "join-links")
-    starred = components(wanted, links, "class")
-    placed = between(members, starred)
-    for heads in HEADS:
-        if placed.isEmpty():
+    placed = components(wanted, links, "class")
+    open_ = between(members, placed)
+    for step in (stars, lambda rows: cross_pairs(allotted(rows, sets, percent).join(placed, "class"))):
+        if open_.isEmpty():
             break
-        first = F.row_number().over(Window.partitionBy("sig").orderBy("class")) <= heads
-        chosen = placed.withColumn("first", first).filter("first").select("sig", F.col("class").alias("a"), F.col("component").alias("ca"))
-        stars = placed.join(chosen, "sig").filter("component <> ca").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        stars = written(stars.join(tried, ["a", "b"], "left_anti"), "join-stars")
-        new = written(verified(stars, sets, percent), "join-links")
-        tried = tried.union(stars)
-        if not new.isEmpty():
-            links = written(links.union(new), "join-links")
-            starred = components(wanted, links, "class")
-            placed = between(placed.select("sig", "class"), starred)
-    if not placed.isEmpty():
-        dear = placed.filter(F.col("n") > costly).select("sig", "class", "component")
-        pairs = cross_pairs(placed.filter(F.col("n") <= costly))
-        if not dear.isEmpty():
-            pairs = pairs.union(cross_pairs(neighbourhoods(sets, dear, percent).join(starred, "class"))).union(cross_pairs(stubborn(dear, sets, percent)))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = written(step(open_).join(tried, ["a", "b"], "left_anti"), "join-pairs")
         new = written(verified(pairs, sets, percent), "join-links")
+        tried = tried.union(pairs)
         if not new.isEmpty():
-            links = written(links.union(new), "join-links")
-            starred = components(wanted, links, "class")
-    found = starred
-    least = found.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
+            links = links.union(new)
+            placed = contracted(placed, new)
+            if step is stars:
+                open_ = between(open_.select("sig", "class"), placed)
+    least = placed.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
     ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    by_class = classes.join(found.join(least, "component").select("class", "component_id"), "class", "left").join(ends, "class", "left")
+    by_class = classes.join(placed.join(least, "component").select("class", "component_id"), "class", "left").join(ends, "class", "left")
     by_class = by_class.select(F.col("class").alias("__class"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = measured.join(by_class, F.col("class") == F.col("__class"), "left")
+    out = measured.select("key", "class", "n_shingles").join(by_class, F.col("class") == F.col("__class"), "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("__class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("verified_links"))
-

@@ -476,10 +476,11 @@ def family(seed):
     return [(i * 2, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("percent, shingle, costly", [(90, 3, 64), (80, 5, 64), (80, 2, 1)])
-def test_join(spark, percent, shingle, costly):
+@pytest.mark.parametrize("percent, shingle, pair_cost", [(90, 3, 8.0), (80, 5, 8.0), (80, 2, 1e9), (70, 1, 1e9)])
+def test_join(spark, monkeypatch, percent, shingle, pair_cost):
+    monkeypatch.setattr(segjoin, "PAIR_COST", pair_cost)
     rows = family(percent + shingle)
-    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), percent, shingle, costly=costly).collect()
+    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), percent, shingle).collect()
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, shingle, percent)
 
 
@@ -489,17 +490,78 @@ def test_join_on_hard_rows(docs, empty):
     assert segjoin.joined(empty).count() == 0
 
 
-def test_costly_segments_give_way(spark):
-    """Sets that agree in a costly segment only differ by one element in another: one-deletion neighbours find them."""
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_allotted_values_lose_no_pair(percent):
+    """Any two similar sets, whichever of their agreeing segments both drop, share an index entry or an allotted neighbour."""
+    draw, bands, met = np.random.default_rng(percent), segjoin.Bands(percent), 0
+    for _ in range(1500):
+        s = np.unique(draw.integers(0, 2**64, draw.integers(1, 60), np.uint64))
+        apart = draw.integers(0, (100 - percent) * len(s) // 50 + 2)
+        gone = draw.integers(0, apart + 1)
+        t = np.unique(np.append(draw.permutation(s)[min(gone, len(s) - 1) :], draw.integers(0, 2**64, apart - gone, np.uint64)))
+        common = len(np.intersect1d(s, t))
+        if 100 * common < percent * (len(s) + len(t) - common):
+            continue
+        met += 1
+        assert set(segjoin.indexed(s, bands)) & set(segjoin.indexed(t, bands))
+        cost = {}
+        rows = []
+        for x in (s, t):
+            found = set()
+            for band in bands.used(len(x)):
+                m = bands.segments(band)
+                starts, sums = segjoin.parts(x, m)
+                own, full = segjoin.signature(band, np.arange(m), sums), np.diff(starts) > 0
+                slack, empty = bands.slack(band, len(x)), int((~full).sum())
+                # Every segment is as dear as can be, in an order that belongs to its content.
+                order = sorted(np.flatnonzero(full), key=lambda k: cost.setdefault(int(own[k]), draw.random()))
+                dropped = order[: max(0, (m + slack) // 2 - empty)]
+                found |= {(int(own[k]), k not in dropped) for k in np.flatnonzero(full)}
+                if 2 * empty > m + slack:
+                    found |= {(int(own[k]), True) for k in np.flatnonzero(~full)}
+                e = empty + len(dropped)
+                if e > slack:
+                    found |= {(int(v), True) for v in np.concatenate(segjoin.neighbours(band, x, m, min(m, 2 * e - slack)))}
+            rows.append(found)
+        active = [{v for v, on in x if on} for x in rows]
+        everything = [{v for v, _ in x} for x in rows]
+        assert active[0] & everything[1] or active[1] & everything[0]
+    assert met > 300
+
+
+def test_costly_segments_give_way(spark, monkeypatch):
+    """At the default costs sets of many groups that share most words are looked up by one-deletion neighbours, and nothing is lost."""
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
     core = [word() for _ in range(26)]
     rows = []
-    for g in range(12):
+    for g in range(40):
         base = core + [word() for _ in range(9)]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], word()]))]
-    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), 80, 1, costly=1).collect()
+    seen = []
+    ran = segjoin.cross_pairs
+    monkeypatch.setattr(segjoin, "cross_pairs", lambda members: seen.extend(members.collect()) or ran(members))
+    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), 80, 1).collect()
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 1, 80)
+    assert any(not r.active for r in seen)
+    indexed = {int(v) for _, t in rows for v in segjoin.indexed(segjoin.Shingler(1)(t)[0], segjoin.Bands(80))}
+    assert any(r.sig not in indexed for r in seen)
+
+
+def test_family_of_a_thousand(spark):
+    """A thousand near copies of one text, some of which only a chain joins, and texts of their own."""
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(1000):
+        t = base[:]
+        for _ in range(draw.randint(0, 2)):
+            t[draw.randrange(60)] = word()
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(word() for _ in range(60))) for i in range(100)]
+    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), 90, 1).collect()
+    assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 1, 90)
 
 
 def test_bands():
@@ -510,6 +572,8 @@ def test_bands():
             for large in {small, small * 100 // percent}:
                 assert b.of(small) in b.used(large) and b.of(large) - b.of(small) <= 1
                 common = -(-percent * (small + large) // (100 + percent))
+                assert all(b.segments(b.of(small)) - 1 - b.slack(b.of(small), n) >= small + large - 2 * common for n in (small, large))
+                assert b.slack(b.of(small), large) >= 0
                 assert small + large - 2 * common < b.segments(b.of(small))
 
 
