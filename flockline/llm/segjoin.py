@@ -35,7 +35,7 @@ from math import floor, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -47,6 +47,9 @@ PAIR_COST = 8.0
 #: Marks of the classes whose sets are asked for: bits a class, and the most bits (32 MB). Classes without a pair may share a mark; a join drops them later.
 MARKS_EACH, MARKS_MOST = 16, 1 << 28
 
+#: Classes of a signature that meet in one task with as many others.
+BLOCK = 4096
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -151,18 +154,33 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
 
 
-def signature(band: int, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """A 64-bit name of a segment's content: band and segment number are part of it."""
+#: Kinds of signatures, in their two lowest bits: a segment that is looked up whole, one with neighbours, and one without an element. A pair meets in two of kind WHOLE, or in one FULL and one LESS.
+WHOLE, FULL, LESS = 0, 1, 2
+
+
+def signature(band: int, numbers: np.ndarray, sums: np.ndarray, kind: int = WHOLE) -> np.ndarray:
+    """A 64-bit name of a segment's content: band, segment number and kind are part of it; FULL and LESS of one content differ in the two lowest bits only."""
     with np.errstate(over="ignore"):
-        return mixed(sums + mixed(numbers.astype(np.uint64) + np.uint64((band + 1) << 40))).view(np.int64)
+        name = mixed(sums + mixed(numbers.astype(np.uint64) + np.uint64((2 * band + 1 + (kind > 0)) << 40)))
+    return (name >> np.uint64(2) << np.uint64(2) | np.uint64(kind)).view(np.int64)
+
+
+def place(sig: Column) -> Column:
+    """Where signatures meet."""
+    return sig.bitwiseAND(F.lit(-4))
+
+
+def kind(sig: Column) -> Column:
+    return sig.bitwiseAND(F.lit(3))
 
 
 def neighbours(band: int, s: np.ndarray, m: int, first: int) -> list[np.ndarray]:
     """Signatures of the first so many of m segments: of each one itself and of itself without each one of its elements."""
     starts, sums = parts(s, m)
-    one = spread(s[: starts[first]])
+    numbers = np.repeat(np.arange(first), np.diff(starts)[:first])
     with np.errstate(over="ignore"):
-        return [signature(band + 4096, np.full(starts[k + 1] - starts[k] + 1, k), np.append(sums[k] - one[starts[k] : starts[k + 1]], sums[k])) for k in range(first)]
+        less = sums[numbers] - spread(s[: starts[first]])
+    return [signature(band, np.arange(first), sums[:first], FULL), signature(band, numbers, less, LESS)]
 
 
 def indexed(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -258,21 +276,21 @@ def contracted(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def between(members: DataFrame, placed: DataFrame) -> DataFrame:
-    """Members (sig, class) of signatures that still join different components, with their component and the signature's cost.
+    """Members (place, sig, class) of places that still join different components, with their component and the place's cost.
 
     The cost is how many classes of other components its classes meet there, on average.
     """
     found = members.join(placed, "class")
-    each = found.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    several = each.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    return written(found.join(several.select("sig", ((F.col("n") * F.col("n") - F.col("own")) / F.col("n")).alias("cost")), "sig"), "join-between")
+    each = found.groupBy("place", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    several = each.groupBy("place").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return written(found.join(several.select("place", ((F.col("n") * F.col("n") - F.col("own")) / F.col("n")).alias("cost")), "place"), "join-between")
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b): the least class of each component in a signature with the least class of the signature."""
-    heads = members.groupBy("sig", "component").agg(F.min("class").alias("b"))
-    first = heads.groupBy("sig").agg(F.min("b").alias("a"))
-    return heads.join(first, "sig").filter("a < b").select("a", "b").distinct()
+    """Pairs (a, b): the least class of each component in a place with the least class there."""
+    heads = members.groupBy("place", "component").agg(F.min("class").alias("b"))
+    first = heads.groupBy("place").agg(F.min("b").alias("a"))
+    return heads.join(first, "place").filter("a < b").select("a", "b").distinct()
 
 
 def allotted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,13 +338,61 @@ def allotted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "sig long, class binary, active boolean").groupBy("sig", "class").agg(F.max("active").alias("active"))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes of different components with a signature in common that at least one of them is looked up by; members: sig, class, component, active."""
-    useful = members.groupBy("sig").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y")).filter("any and x < y").select("sig")
-    members = members.join(useful, "sig", "left_semi")
-    left = members.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("active").alias("xa"))
-    right = members.select("sig", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("active").alias("xb"))
-    return left.join(right, "sig").filter("a < b and ca <> cb and (xa or xb)").select("a", "b").distinct()
+def two_words(column: pa.ChunkedArray) -> np.ndarray:
+    """16-byte names as rows of two numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of classes of different components that meet in a signature that at least one of them is looked up by, as far as sizes and parities allow them; members: sig, class, component, active.
+
+    The classes of a place are compared where they are, so that only pairs that pass
+    become rows. A place of many classes is dealt to blocks of about BLOCK, and each
+    two blocks meet in a task of their own.
+    """
+    members = members.select(place(F.col("sig")).alias("place"), kind(F.col("sig")).alias("kind"), "class", "component", "active")
+    useful = members.groupBy("place").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_or("kind").alias("kinds"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    useful = useful.filter(f"any and x < y and kinds in ({WHOLE}, {FULL | LESS})").select("place", "blocks")
+    rows = members.join(useful, "place").join(sets.select("class", "size", "parity"), "class")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "kind", "active", "class", "component", "size", "parity")
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        at, p, q, own, kinds, active, size = (t.column(c).to_numpy() for c in ("place", "p", "q", "own", "kind", "active", "size"))
+        component, bits = two_words(t.column("component")), np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, 8)
+        new = np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+        starts = np.append(np.flatnonzero(new), len(at))
+        end = starts[np.cumsum(new)]
+        i, k, found = np.arange(len(at)), 0, []
+        while True:
+            k += 1
+            i = i[i + k < end[i]]
+            if not len(i):
+                break
+            j = i + k
+            fit = (active[i] | active[j]) & ((kinds[i] ^ kinds[j]) == np.where(kinds[i] == WHOLE, 0, FULL ^ LESS)) & ((own[i] != own[j]) | (p[i] == q[i]))
+            x, y = i[fit], j[fit]
+            fit = (component[x] != component[y]).any(1) & (np.minimum(size[x], size[y]) * 100 >= percent * np.maximum(size[x], size[y]))
+            x, y = x[fit], y[fit]
+            fit = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= (100 - percent) * (size[x] + size[y]) // (100 + percent)
+            found.append(np.stack([x[fit], y[fit]]))
+        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([t.column("class").combine_chunks().take(pa.array(x)) for x in both], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            last = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("place", "p", "q")]) if t.num_rows else np.zeros(0, bool)
+            cut = int(np.argmax(last)) if t.num_rows else 0
+            if cut:
+                yield compared(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield compared(rest)
+
+    pairs = rows.repartition("place", "p", "q").sortWithinPartitions("place", "p", "q").mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,17 +441,19 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["key", "class", "n_shingles", "sigs"])
 
-    kind = StructType([rows.schema["key"], StructField("class", BinaryType()), StructField("n_shingles", LongType()), StructField("sigs", ArrayType(LongType()))])
-    measured = written(rows.mapInArrow(sign, kind), "join-signed")
+    schema = StructType([rows.schema["key"], StructField("class", BinaryType()), StructField("n_shingles", LongType()), StructField("sigs", ArrayType(LongType()))])
+    measured = written(rows.mapInArrow(sign, schema), "join-signed")
     # A class goes by the first 60 bits of its digest here; classes that share them share candidates, no more.
     name = F.conv(F.substring(F.hex("class"), 1, 15), 16, 10).cast("long")
     classes = written(measured.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("first")).withColumn("name", name), "join-classes")
-    signed = measured.select(F.explode("sigs").alias("sig"), name.alias("name"))
-    twice = written(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "join-twice")
+    sig = F.col("sig")
+    signed = measured.select(F.explode("sigs").alias("sig"), name.alias("name")).select(place(sig).alias("place"), kind(sig).cast("byte").alias("kind"), "name")
+    meets = f"kinds in ({WHOLE}, {FULL | LESS})"
+    twice = written(signed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds")).filter(f"n > 1 and {meets}").select("place"), "join-twice")
     # Copies in different tasks, and a set's own neighbours, count too; here they go.
-    met = written(signed.join(twice.hint("shuffle_hash"), "sig").distinct(), "join-met")
-    real = met.groupBy("sig").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("sig")
-    members = written(met.join(real, "sig", "left_semi").join(classes, "name").select("sig", "class"), "join-members")
+    met = written(signed.join(twice.hint("shuffle_hash"), "place").distinct(), "join-met")
+    real = met.groupBy("place").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("place")
+    members = written(met.join(real, "place", "left_semi").join(classes, "name").select("place", F.col("place").bitwiseOR(F.col("kind").cast("long")).alias("sig"), "class"), "join-members")
     discard(twice, met)
     wanted = written(members.select("class").distinct(), "join-wanted")
     size = 1 << int(np.clip(wanted.count() * MARKS_EACH, 1 << 10, MARKS_MOST)).bit_length() - 1
@@ -413,12 +481,12 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
             yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", "size", "parity"])
 
     sets = written(rows.mapInArrow(pack, "class binary, shingles binary, size long, parity binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "join-sets")
-    least = members.groupBy("sig").agg(F.min("class").alias("a"))
-    tried = written(members.join(least, "sig").filter("a < class").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
+    least = members.groupBy("place").agg(F.min("class").alias("a"))
+    tried = written(members.join(least, "place").filter("a < class").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
     links = written(verified(tried, sets, percent), "join-links")
     placed = components(wanted, links, "class")
     open_ = between(members, placed)
-    for step in (stars, lambda rows: cross_pairs(allotted(rows, sets, percent).join(placed, "class"))):
+    for step in (stars, lambda rows: cross_pairs(allotted(rows, sets, percent).join(placed, "class"), sets, percent)):
         if open_.isEmpty():
             break
         pairs = written(step(open_).join(tried, ["a", "b"], "left_anti"), "join-pairs")
@@ -428,7 +496,7 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
             links = links.union(new)
             placed = contracted(placed, new)
             if step is stars:
-                open_ = between(open_.select("sig", "class"), placed)
+                open_ = between(open_.select("place", "sig", "class"), placed)
     least = placed.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
     ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = classes.join(placed.join(least, "component").select("class", "component_id"), "class", "left").join(ends, "class", "left")
