@@ -54,7 +54,7 @@ def src_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.from_json("props", "k bigint").alias("p")).groupBy("user_id", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT conv_id, rank, neighbor, score FROM (SELECT conv_id, unnest([1, 2]) AS rank, unnest([a, b]) AS neighbor, unnest([sa, sb]) AS score FROM
+@query("""SELECT conv_id, rank, neighbor, score FROM (SELECT conv_id, unnest([1::BIGINT, 2::BIGINT]) AS rank, unnest([a, b]) AS neighbor, unnest([sa, sb]) AS score FROM
 (SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS a, max(CASE WHEN turn = 1 THEN role END) AS b, max(CASE WHEN turn = 0 THEN length(text) END) AS sa, max(CASE WHEN turn = 1 THEN length(text) END) AS sb FROM conversations GROUP BY conv_id)) WHERE neighbor IS NOT NULL""")
 def src_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC14."""

@@ -68,7 +68,7 @@ def overlay(spark: SparkSession, path: str) -> DataFrame:
 
 def wide_ranks(df: DataFrame, id_column: str, n: int, id_name: str = "rank_{}_id", score_name: str = "rank_{}_score") -> DataFrame:
     """A wide rank table in long form: ``id_column``, rank, neighbor, score."""
-    ranks = F.array(*[F.struct(F.lit(k).alias("rank"), F.col(id_name.format(k)).alias("neighbor"), F.col(score_name.format(k)).alias("score")) for k in range(1, n + 1)])
+    ranks = F.array(*[F.struct(F.lit(k).cast("bigint").alias("rank"), F.col(id_name.format(k)).alias("neighbor"), F.col(score_name.format(k)).alias("score")) for k in range(1, n + 1)])
     return df.select(id_column, F.explode(ranks).alias("r")).select(id_column, "r.*").where("neighbor is not null")
 
 
