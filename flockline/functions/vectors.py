@@ -75,9 +75,13 @@ def distance_of_score(s: Column, space: str = "unit_interval") -> Column:
     raise ValueError(f"no score space {space}")
 
 
+def block_counts(items: DataFrame, group: str, block: int) -> DataFrame:
+    return items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+
+
 def blocked(items: DataFrame, group: str, id_column: str, vector: str, block: int = BLOCK) -> DataFrame:
     """A row a block of at most about ``block`` items: group, block, ids, vectors. The number of blocks follows the group's size."""
-    sizes = items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    sizes = block_counts(items, group, block)
     dealt = items.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(id_column), F.col("blocks")).cast("int"))
     rows = dealt.groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), doubles(F.col(vector)).alias("v")))).alias("rows"))
     return rows.select(group, "block", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vectors"))
@@ -87,8 +91,11 @@ def _scored(items: DataFrame, group: str, id_column: str, vector: str, block: in
     """Every pair of blocks of a group as a matrix product, of which ``emit`` keeps some: it gets ids, ids and scores."""
     rows = blocked(items, group, id_column, vector, block)
     left = rows.select(group, F.col("block").alias("a"), F.col("ids").alias("ia"), F.col("vectors").alias("va"))
-    right = rows.select(F.col(group).alias("__g"), F.col("block").alias("b"), F.col("ids").alias("ib"), F.col("vectors").alias("vb"))
-    pairs = left.join(right, (F.col(group) == F.col("__g")) & (F.col("a") <= F.col("b") if ordered else F.lit(True))).drop("__g")
+    right = rows.select(F.col(group).alias("__g"), F.col("block").alias("__b"), F.col("ids").alias("ib"), F.col("vectors").alias("vb"))
+    # Pairs of block numbers are listed first; vectors are brought to them by group and block, so that a group's pairs are spread over as many tasks as it has blocks.
+    numbers = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    listed = block_counts(items, group, block).select(group, F.explode(numbers).alias("a"), "blocks").select(group, "a", F.explode(F.filter(numbers, lambda b: b >= F.col("a")) if ordered else numbers).alias("b"))
+    pairs = listed.join(left, [group, "a"]).join(right, (F.col(group) == F.col("__g")) & (F.col("b") == F.col("__b"))).drop("__g", "__b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
