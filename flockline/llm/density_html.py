@@ -138,7 +138,16 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
 
 
 def densities(root: Node, nodes: list[Node], stream: list[tuple[Node, str | None]]) -> None:
-    """Fills in each node's composite text density and the sum of its children's."""
+    """Fills in each node's composite text density and the sum of its children's.
+
+    With C, T the characters and tags of a node, LC, LT those of its links, and ratio
+    the page's share of link characters, the density is
+    C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + ratio * C + e),
+    where counts are at least 1. The published base is 1, and its logarithm 0, on
+    pages without links, so the base's excess over 1 is added to e here: the order of
+    nodes stays, and pages with few links give no boundless densities. A node that is
+    all link has density 0.
+    """
     linked: dict[Node, bool] = {}
     for node in nodes:
         linked[node] = node.tag == "a" or (node.parent is not None and linked[node.parent])
@@ -173,10 +182,10 @@ def main_text(page: str | None) -> str:
 
     Elements that by their kind, role or class are menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles or reader comments go. Of the
-    others, the one with the largest sum of its children's densities is the core;
-    the least density on its path up to the body is the threshold, and the siblings
-    on that path that reach it, and headings, belong to the text too. If the core
-    lies in an article or main element, that element is the text.
+    others that hold blocks, the one with the largest sum of its children's densities
+    is the core; the least density on its path up to the body is the threshold, and
+    the siblings on that path that reach it, and headings, belong to the text too.
+    article and main are elements like others.
     """
     if not page or not page.strip():
         return ""
@@ -185,22 +194,16 @@ def main_text(page: str | None) -> str:
     live = [n for n in nodes if not n.dropped and n.chars]
     if not live:
         return ""
-    core = max(live, key=lambda n: (n.total, n.density))
-    holder = core
-    while holder is not None and holder.tag not in ("article", "main"):
-        holder = holder.parent
-    if holder is not None:
-        roots = {holder}
-    else:
-        roots, threshold, node = {core}, core.density, core
-        while node.parent is not None:
-            threshold, node = min(threshold, node.density or threshold), node.parent
-        node = core
-        while node.parent is not None:
-            roots |= {x for x in node.parent.children if not x.dropped and (x.density >= threshold or x.tag in HEADINGS)} - {node}
-            node = node.parent
-        if root is core or core.tag == "body":
-            roots = {root}
+    held = {n.parent for n in live if n.tag in BLOCKS}
+    core = max([n for n in live if n in held] or live, key=lambda n: (n.total, n.density))
+    roots, threshold, node = {core}, core.density, core
+    while node.parent is not None and node.tag != "body":
+        node = node.parent
+        threshold = min(threshold, node.density or threshold)
+    node = core
+    while node.parent is not None:
+        roots |= {x for x in node.parent.children if not x.dropped and (x.density >= threshold or x.tag in HEADINGS)} - {node}
+        node = node.parent
     inside: dict[Node, bool] = {}
     for node in nodes:
         inside[node] = not node.dropped and (node in roots or (node.parent is not None and inside[node.parent]))

@@ -432,6 +432,38 @@ def test_extracted(spark):
     assert density_html.extracted(pages.limit(0)).count() == 0
 
 
+def plain_page(draw):
+    """A page without article, main or any mark: its article, and lists of links and short lines around it, all in div elements."""
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8)))
+    body = [" ".join(word() for _ in range(draw.randint(30, 80))) for _ in range(draw.randint(3, 9))]
+    links = lambda: "<div>" + "".join(f'<div><a href="/{word()}">{word()} {word()}</a></div>' for _ in range(draw.randint(4, 12))) + "</div>"
+    return f"<html><body>{links()}<div><div>" + "".join(f"<p>{p}</p>" for p in body) + f"</div></div>{links()}</body></html>", "\n".join(body)
+
+
+def test_density_decides(monkeypatch):
+    """Where nothing is marked, densities alone find the article; the opposite densities find something else; article is a name like div."""
+    draw = random.Random(8)
+    pages = [plain_page(draw) for _ in range(60)]
+    assert all(density_html.main_text(page) == text for page, text in pages)
+    assert all(density_html.main_text(page.replace("<div><div><p>", "<article><div><p>").replace("</p></div></div>", "</p></div></article>")) == text for page, text in pages)
+    ran = density_html.densities
+
+    def opposite(root, nodes, stream):
+        ran(root, nodes, stream)
+        for n in nodes:
+            n.density, n.total = -n.density, -n.total
+
+    monkeypatch.setattr(density_html, "densities", opposite)
+    assert sum(density_html.main_text(page) != text for page, text in pages) > 50
+
+
+def test_long_and_wide_pages():
+    words = " ".join(f"word{i}" for i in range(200_000))
+    assert density_html.main_text(f"<div><p>{words}</p></div>") == words
+    wide = "".join(f"<p>line number {i} of many, with some more words</p>" for i in range(20_000))
+    assert density_html.main_text(f"<body><div>{wide}</div></body>").count("\n") == 19_999
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 
