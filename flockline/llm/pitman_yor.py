@@ -2,9 +2,10 @@
 
 Two levels of Chinese restaurants: one for each context (the word before, by its
 exact hash, or a text's start), and their common parent, whose base is uniform
-over the V known tokens and one unknown. A sweep seats the customers of each dish of a context anew, last of all,
-which exchangeability allows, against the parent and the other dishes' tables
-of the sweep before; then it seats the tables of each dish in the parent.
+over the V known tokens and one unknown. A sweep draws the tables of each dish of a
+context from their exact conditional, given the parent and the other dishes' tables
+of the sweep before; then it draws those of each dish in the parent. Both discounts
+are one half.
 
 Tokens travel once, in compressed blocks, to buckets: a rare word's tokens by the
 word, a common word's by the context where that is rare and else by word and
@@ -42,7 +43,10 @@ CHUNK_DOCS = 65_000
 BUCKET_TOKENS = 750_000
 #: Documents whose partial sums a scoring task holds before it passes them on.
 HELD_DOCS = 400_000
-DISCOUNTS = (0.5, 0.75)
+#: Of the root and of contexts. At one half the number of seatings has a closed form, so that tables are drawn exactly for any count.
+DISCOUNTS = (0.5, 0.5)
+#: Restaurants are drawn for together up to so many customers or tables, and one by one from there on; the distribution is the same.
+TOGETHER = 4096
 DOC_BITS = 17
 
 
@@ -174,11 +178,10 @@ def dealt(docs: DataFrame, known: Words) -> DataFrame:
             rare_place = spread(key) % np.uint64(known.buckets)
             by, rare_by = np.argsort(place, kind="stable"), np.argsort(rare_place, kind="stable")
             cuts, rare_cuts = np.searchsorted(place[by], np.arange(known.buckets + 1)), np.searchsorted(rare_place[rare_by], np.arange(known.buckets + 1))
-            for k in range(known.buckets):
+            for k in np.union1d(place, rare_place).astype(int).tolist():
                 some, few = np.sort(whole[by[cuts[k] : cuts[k + 1]]]), rare_by[rare_cuts[k] : rare_cuts[k + 1]]
-                if len(some) or len(few):
-                    few = few[np.argsort(key[few], kind="stable")]
-                    yield row(k, chunk.number, packed(np.diff(some, prepend=np.int64(0)), np.diff(key[few], prepend=np.uint64(0)), rest[few], other[few][kind[few] == 3]))
+                few = few[np.argsort(key[few], kind="stable")]
+                yield row(k, chunk.number, packed(np.diff(some, prepend=np.int64(0)), np.diff(key[few], prepend=np.uint64(0)), rest[few], other[few][kind[few] == 3]))
             # What common words add to the base score is known here.
             owner = (doc >> 1)[common]
             base = np.bincount(owner, np.log10(known.counts[at[common]] + 0.1) if len(owner) else None, len(lengths))
@@ -251,26 +254,42 @@ def far_of(states: list | None, n: int, passes: int) -> tuple[list[np.ndarray],
     return tables, customers, moves
 
 
-def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that the customers of each dish take, seated one by one.
+def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A Gibbs draw of the tables that the customers of each dish take, given all others.
 
-    ``others`` is the strength and discount times the other dishes' tables,
-    ``parent`` the parent's probability of the dish. After 32 customers, a sixteenth of those seated come at once, with
-    the chance of the first of them.
+    ``others`` is the strength and one half of the other dishes' tables, ``parent`` the
+    parent's probability of the dish. With discount 1/2, c customers sit at t tables in
+    ways whose weights sum to S(c, t), where S(c, t + 1) / S(c, t) = 4 (c - t) / (t (2 c - t - 1)).
+    So the odds of t + 1 to t tables are that ratio times (others + t / 2) * parent. They
+    fall with t: the mode is found by bisection, and from there outwards each number
+    takes the place of the one drawn so far with its share of the weight so far, until
+    what is left is below double precision.
     """
     tables = np.minimum(customers, 1)
     many = np.flatnonzero(customers > 1)
-    many = many[np.argsort(-customers[many], kind="stable")]
-    c, t, a, p = customers[many], np.ones(len(many)), others[many], parent[many]
-    j = 1
-    while len(c) and j < c[0]:
-        k = int(np.searchsorted(-c, -j, side="left"))  # those with more than j customers
-        step = 1 if j < 32 else j // 16
-        new = (a[:k] + discount * t[:k]) * p[:k]
-        chance = new / (new + np.maximum(j - discount * t[:k], 1e-12))
-        t[:k] += rng.random(k) < chance if step == 1 else rng.binomial(np.minimum(step, c[:k] - j), chance)
-        j += step
-    tables[many] = np.minimum(t, c).astype(tables.dtype)
+    c, a, p = customers[many].astype(float), others[many], parent[many]
+
+    def odds(t: np.ndarray, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return (a[i] + t / 2) * p[i] * 4 * (c[i] - t) / (t * (2 * c[i] - t - 1))
+
+    low, high = np.ones(len(c)), c.copy()
+    while (low < high).any():
+        middle = np.floor((low + high) / 2)
+        up = odds(middle) >= 1
+        low, high = np.where(up & (low < high), middle + 1, low), np.where(up, high, middle)
+    mode, drawn, total = low, low.copy(), np.ones(len(c))
+    for way in (1, -1):
+        i, t, w = np.arange(len(c)), mode.copy(), np.ones(len(c))
+        while len(i):
+            w = w * odds(t, i) if way > 0 else w / odds(t - 1, i)
+            t = t + way
+            going = w > 1e-17 * total[i]
+            i, t, w = i[going], t[going], w[going]
+            total[i] += w
+            moved = rng.random(len(i)) * total[i] < w
+            drawn[i[moved]] = t[moved]
+    tables[many] = drawn.astype(tables.dtype)
     return tables
 
 
@@ -294,7 +313,7 @@ def root_probability(tables: np.ndarray, root: np.ndarray, s: Sweep, v: int) ->
 def reseated_root(tables: np.ndarray, root: np.ndarray, s: Sweep, v: int, rng: np.random.Generator) -> np.ndarray:
     """The root tables of words after their tables have been seated in the root."""
     others = s.strengths[0] + DISCOUNTS[0] * np.maximum(s.tables_root - root, 0.0)
-    return seated(tables, others, np.full(len(tables), 1 / (v + 1)), DISCOUNTS[0], rng)
+    return seated(tables, others, np.full(len(tables), 1 / (v + 1)), rng)
 
 
 def replayed(bucket: int, pairs: tuple[np.ndarray, ...], sweeps: list[Sweep], known: Words, seed: int, last: bool, far: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -313,33 +332,45 @@ def replayed(bucket: int, pairs: tuple[np.ndarray, ...], sweeps: list[Sweep], kn
         root[rare] = root_probability(rare_tables, rare_root, s, known.v)[word]
         root[~rare] = root_probability(s.common[w[~rare]], s.common_root[w[~rare]], s, known.v)
         on = np.concatenate([s.tables, far[k]]) if far else s.tables
-        tables = seated(c.astype(np.int64), s.strengths[1] + DISCOUNTS[1] * np.maximum(on[u] - tables, 0), root, DISCOUNTS[1], rng)
+        tables = seated(c.astype(np.int64), s.strengths[1] + DISCOUNTS[1] * np.maximum(on[u] - tables, 0), root, rng)
         rare_tables = np.bincount(word, tables[rare], n_rare).astype(np.int64)
         states.append((tables, rare_tables, reseated_root(rare_tables, rare_root, s, known.v, rng)))
     return states
 
 
+def at_least(counts: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
+    """How many of the restaurants have more than k, for k from 0 to most - 1."""
+    n = np.bincount(np.minimum(counts, most).astype(np.int64), times, most + 1).astype(np.int64)
+    return n.sum() - np.cumsum(n)[:-1]
+
+
 def strength(current: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator, far: tuple[dict[int, int], dict[int, int]] = ({}, {})) -> float:
-    """A draw of a strength given its restaurants' customers and tables, with auxiliary variables and a Gamma(1, 1) prior; long sums of coin flips by their mean.
+    """A draw of a strength given its restaurants' customers and tables, with auxiliary variables and a Gamma(1, 1) prior.
 
     ``far``: how many further restaurants have so many customers (two at least), and
-    how many have so many tables. More than 1,000 draws of one kind come as one normal
-    draw of their sum.
+    how many have so many tables. The logarithm of a Beta(s + 1, c - 1) variable is
+    less a sum of exponentials with the rates s + 1 to s + c - 1, so restaurants share
+    one Gamma variable a rate; coin flips of one chance share a binomial.
     """
     open_ = customers > 1
-    c, t = customers[open_].astype(float), np.maximum(tables[open_], 1).astype(float)
-    if not len(c) and not far[0]:
+    c, t = customers[open_], np.maximum(tables[open_], 1)
+    c = np.concatenate([c, np.array(sorted(far[0]), np.int64)])
+    t = np.concatenate([t, np.array(sorted(far[1]), np.int64)])
+    c_times = np.concatenate([np.ones(int(open_.sum()), np.int64), np.array([far[0][k] for k in sorted(far[0])], np.int64)])
+    t_times = np.concatenate([np.ones(int(open_.sum()), np.int64), np.array([far[1][k] for k in sorted(far[1])], np.int64)])
+    if not len(c):
         return current
-    logs = np.log(np.maximum(rng.beta(current + 1, c - 1), 1e-300)).sum()
-    for n, times in sorted(far[0].items()):
-        if times > 1000:
-            each = 1 / (current + 1 + np.arange(n - 1))
-            logs += rng.normal(-times * each.sum(), math.sqrt(times * (each * each).sum()))
-        else:
-            logs += np.log(np.maximum(rng.beta(current + 1, n - 1, times), 1e-300)).sum()
+    rates = current + 1 + np.arange(TOGETHER)
+    logs = (rng.standard_gamma(at_least(c - 1, c_times, TOGETHER)) / rates).sum()
+    for k, n in zip(c[c - 1 > TOGETHER].tolist(), c_times[c - 1 > TOGETHER].tolist(), strict=True):
+        logs -= np.log(rng.beta(current + 1 + TOGETHER, k - 1 - TOGETHER, n)).sum()
     r = current / discount
-    flips = (r * (np.log((t - 0.5 + r) / (0.5 + r)))).sum() + sum(times * r * math.log((max(n, 1) - 0.5 + r) / (0.5 + r)) for n, times in sorted(far[1].items()))
-    return float(np.clip(rng.gamma(1 + flips, 1 / (1 - logs)), 0.01, 1e6))
+    flips, most = 0, int(t.max(initial=1))
+    for first in range(0, most, 1 << 20):
+        i = np.arange(max(first, 1), min(first + (1 << 20), most))
+        n = at_least(np.maximum(t - first, 0), t_times, min(1 << 20, most - first))[i - first]
+        flips += int(rng.binomial(n, r / (r + i)).sum())
+    return float(np.clip(rng.gamma(1 + flips, 1 / (1 + logs)), 0.01, 1e6))
 
 
 def shared(rows: DataFrame, k: int) -> DataFrame:

@@ -388,18 +388,114 @@ def test_predictive_masses_sum_to_one():
             assert (mine.sum() + back * (p.sum() + unknown[0])) / (3.0 + customers[ctx]) == pytest.approx(1)
 
 
-def test_seating_matches_one_by_one():
-    rng = np.random.default_rng(3)
-    n, c, others, parent, d = 4000, 20, 5.0, 0.2, 0.5
-    got = pitman_yor.seated(np.full(n, c), np.full(n, others), np.full(n, parent), d, np.random.default_rng(4)).mean()
-    total = 0
-    for _ in range(n):
-        t = 1
-        for j in range(1, c):
-            new = (others + d * t) * parent
-            t += rng.random() < new / (new + j - d * t)
-        total += t
-    assert got == pytest.approx(total / n, rel=0.03)
+def seatings(c, d=0.5):
+    """log S(c, t) for t from 1 to c, by the recursion over customers."""
+    row = np.array([0.0])
+    for j in range(1, c):
+        t = np.arange(1, j + 1)
+        row = np.logaddexp(np.append(row + np.log(j - d * t), -np.inf), np.append(-np.inf, row))
+    return row
+
+
+@pytest.mark.parametrize("c, others, parent", [(20, 5.0, 0.2), (20, 50.0, 0.01), (30, 100.0, 0.05), (200, 50.0, 0.05), (2000, 50.0, 0.05), (2, 1.0, 0.5), (40, 1e5, 0.3)])
+def test_tables_are_drawn_from_the_exact_conditional(c, others, parent):
+    n = 40_000
+    got = pitman_yor.seated(np.full(n, c), np.full(n, others), np.full(n, parent), np.random.default_rng(4))
+    t = np.arange(1, c + 1)
+    logs = seatings(c) + np.cumsum(np.log(others + 0.5 * (t - 1))) + t * math.log(parent)
+    want = np.exp(logs - np.logaddexp.reduce(logs))
+    share = np.bincount(got, minlength=c + 1)[1:] / n
+    assert np.abs(share - want).max() < 5 * math.sqrt(0.25 / n) and got.mean() == pytest.approx((t * want).sum(), rel=0.02)
+    assert pitman_yor.seated(np.array([10**9]), np.array([others]), np.array([parent]), np.random.default_rng(1))[0] >= 1
+
+
+def test_strength_of_large_restaurants():
+    """Restaurants beyond those that are drawn for together: the mean is that of plain auxiliary draws."""
+    c, t = np.array([9000, 5, 20_000]), np.array([60, 2, 5000])
+    got = [pitman_yor.strength(3.0, 0.5, c, t, np.random.default_rng(i)) for i in range(300)]
+    want = []
+    for i in range(300):
+        rng = np.random.default_rng([7, i])
+        flips = sum((rng.random(k - 1) < 3.0 / (3.0 + 0.5 * np.arange(1, k))).sum() for k in t)
+        want.append(rng.gamma(1 + flips, 1 / (1 - np.log(rng.beta(4.0, c - 1)).sum())))
+    assert np.mean(got) == pytest.approx(np.mean(want), rel=0.05)
+
+
+def test_predictions_match_a_sampler_of_single_customers():
+    """On a small corpus, the averaged predictive probabilities are those of a sampler that unseats and reseats one customer at a time."""
+    draw = np.random.default_rng(6)
+    v, contexts, s0, s1, d = 5, 6, 2.0, 3.0, 0.5
+    counts = draw.integers(0, 7, (contexts, v))
+    w, u = np.nonzero(counts.T)
+    c = counts[u, w].astype(np.int64)
+    known = pitman_yor.Words(int(counts.sum()), v, np.arange(v, dtype=np.uint64), counts.sum(0), 1)
+    sweeps, p, rounds = [], np.zeros((contexts, v)), 400
+    tables = np.minimum(c, 1)
+    on_root = np.minimum(np.bincount(w, tables, v), 1)
+    for k in range(rounds):
+        on = np.bincount(w, tables, v).astype(np.int64)
+        state = pitman_yor.Sweep(np.bincount(u, tables, known.contexts).astype(np.int64), on, on_root, (s0, s1), int(tables.sum()), int(on_root.sum()))
+        root = pitman_yor.root_probability(on, on_root, state, v)
+        rng = np.random.default_rng(k)
+        tables = pitman_yor.seated(c, s1 + d * np.maximum(state.tables[u] - tables, 0), root[w], rng)
+        on = np.bincount(w, tables, v).astype(np.int64)
+        on_root = pitman_yor.reseated_root(on, np.minimum(on_root, on), state, v, rng)
+        state = pitman_yor.Sweep(np.bincount(u, tables, known.contexts).astype(np.int64), on, on_root, (s0, s1), int(tables.sum()), int(on_root.sum()))
+        root = pitman_yor.root_probability(on, on_root, state, v)
+        left = np.zeros((contexts, v))
+        left[u, w] = c - d * tables
+        if k >= 40:
+            p += (left + (s1 + d * state.tables[:contexts, None]) * root) / (s1 + counts.sum(1)[:, None])
+    p /= rounds - 40
+
+    random_ = random.Random(7)
+    seats = {(x, y): [] for x in range(contexts) for y in range(v)}
+    top = {y: [] for y in range(v)}
+
+    def base(y):
+        n, m = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (max(sum(top[y]) - d * len(top[y]), 0) + (s0 + d * m) / (v + 1)) / (s0 + n)
+
+    def sit(rows, new):
+        weights = [k - d for k in rows] + [new]
+        at = random_.choices(range(len(weights)), weights)[0]
+        if at == len(rows):
+            rows.append(1)
+            return True
+        rows[at] += 1
+        return False
+
+    def leave(rows):
+        at = random_.choices(range(len(rows)), rows)[0]
+        rows[at] -= 1
+        if not rows[at]:
+            rows.pop(at)
+            return True
+        return False
+
+    def add(x, y):
+        m = sum(len(seats[x, z]) for z in range(v))
+        if sit(seats[x, y], (s1 + d * m) * base(y)):
+            sit(top[y], (s0 + d * sum(map(len, top.values()))) / (v + 1))
+
+    for x in range(contexts):
+        for y in range(v):
+            for _ in range(counts[x, y]):
+                add(x, y)
+    q, passes = np.zeros((contexts, v)), 500
+    for k in range(passes):
+        for x in range(contexts):
+            for y in range(v):
+                for _ in range(counts[x, y]):
+                    if leave(seats[x, y]):
+                        leave(top[y])
+                    add(x, y)
+        for x in range(contexts):
+            m = sum(len(seats[x, z]) for z in range(v))
+            for y in range(v):
+                q[x, y] += (counts[x, y] - d * len(seats[x, y]) + (s1 + d * m) * base(y)) / (s1 + counts[x].sum())
+    q /= passes
+    assert np.abs(np.log10(p / q)).max() < 0.04
 
 
 # --- 8 -----------------------------------------------------------------------------------------
