@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from flockline.llm.common import key52, n_words, running_total, written
 
-#: A prime above any number of blocks of a source; it permutes a source's blocks.
-STEP = 2147483647
-
-
 def targets(sizes: DataFrame, weights: list[int], most: int) -> DataFrame:
     """source, source_size, weight, target: shares of the total by weight, at most ``most`` times a source's size.
 
@@ -71,41 +67,48 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, block: i
     """The mix of all documents and its quotas.
 
     First table, a row a document: doc_id, size (words), source_size, target,
-    taken (words that the mix takes, repeats counted) and copies (whole copies for
-    a mix of whole documents). Second: source, source_size, weight, target, shard,
+    taken (words that the mix takes, repeats counted), copies (whole copies for
+    a mix of whole documents) and first_shard. Second: source, source_size, weight, target, shard,
     quota (blocks).
 
     A source's documents, in the order of a seeded hash, are one line of words cut
-    into blocks of ``block`` words. A quota of q blocks takes all N blocks q // N
-    times and then the q % N blocks that a seeded permutation puts first, so runs
-    agree and no document is taken more than ``most`` times. Null text has no
-    words; null is a source of its own, after the others. Documents without words
-    are taken 0 times. Rows with equal doc_id are documents of their own. An empty
-    table gives two empty tables.
+    into N blocks of ``block`` words, and the blocks are ranked by a seeded hash of
+    their own. The source's quotas, shard after shard, take the blocks in this order,
+    again from the first after the last; so runs agree, no document is taken more than
+    ``most`` times, and ``first_shard`` is the shard that first takes the document's
+    middle word (null: none does). A quota above ``most`` times N, which only rounding
+    gives, loses what is above. Null text has no words; null is a source of its own,
+    after the others. Documents without words are taken 0 times. Rows with equal
+    doc_id are documents of their own. An empty table gives two empty tables.
     """
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__crc")), "mix-sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = targets(by_source, list(weights), most)
-    total = F.sum("source_size").over(Window.partitionBy())
-    unit = F.greatest(F.lit(block), F.ceil(total / F.lit(STEP - 1)))
-    shares = shares.withColumn("block", unit.cast("long")).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
-    shared = written(quotas(shares, F.col("seats"), n_shards).join(shares.select(F.col("source").alias("__s"), "block"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "mix-quotas")
-    plan = shared.groupBy("source").agg(F.sum("quota").alias("__quota"), *[F.first(c).alias(c) for c in ("source_size", "target", "block")])
-    blocks = F.ceil(F.col("source_size") / F.col("block"))
-    plan = plan.withColumn("__blocks", F.greatest(blocks, F.lit(1))).withColumn("__quota", F.least(F.col("__quota"), F.col("__blocks") * most))
-    plan = plan.select(F.col("source").alias("__s"), "source_size", "target", "block", "__blocks", F.floor(F.col("__quota") / F.col("__blocks")).alias("__rounds"), (F.col("__quota") % F.col("__blocks")).alias("__rest"), (key52(F.col("source"), seed, "turn") % F.col("__blocks")).alias("__turn"))
+    shares = shares.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.lit(block)).cast("long"))
+    shared = written(quotas(shares, F.col("seats"), n_shards), "mix-quotas")
+    # Of each source: after how many blocks each shard is full.
+    plan = shared.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("__q"), *[F.first(c).alias(c) for c in ("source_size", "target")])
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
+    full = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda k: F.least(F.aggregate(F.slice(F.col("__q"), F.lit(1), k), F.lit(0).cast("long"), lambda n, x: n + x["quota"]), blocks * most))
+    plan = plan.select(F.col("source").alias("__s"), "source_size", "target", blocks.alias("__blocks"), full.alias("__full"))
     lines = running_total(sizes.withColumn("__key", key52(F.col("doc_id"), seed, "mix")), ["source"], "__key", [F.col("doc_id").asc_nulls_last(), F.col("__crc"), F.col("size")], F.col("size"), "__first")
-    joined = lines.join(plan, F.col("source").eqNullSafe(F.col("__s")))
-    size, start, unit = F.col("size"), F.col("__first"), F.col("block")
-
-    def chosen(b: Column) -> Column:
-        return F.pmod(b * F.lit(STEP) + F.col("__turn"), F.col("__blocks")) < F.col("__rest")
-
-    part = F.aggregate(
-        F.sequence(F.floor(start / unit), F.floor((start + F.greatest(size, F.lit(1)) - 1) / unit)),
-        F.lit(0).cast("long"),
-        lambda total, b: total + F.when(chosen(b), F.least(start + size, (b + 1) * unit) - F.greatest(start, b * unit)).otherwise(0),
+    size, start, b = F.col("size"), F.col("__first"), F.col("__block")
+    lines = written(lines.withColumn("__middle", F.floor((start + F.floor(size / 2)) / block)), "mix-lines")
+    spans = lines.filter(size > 0).withColumn("__block", F.explode(F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))))
+    # Each block begins in one document.
+    heads = spans.filter(b * block >= start).select("source", "__block").withColumn("__key", key52(F.col("source"), seed, b, "block"))
+    ranks = running_total(heads, ["source"], "__key", [b], F.lit(1), "__rank").select(F.col("source").alias("__o"), F.col("__block").alias("__b"), "__rank")
+    ranks = ranks.join(plan, F.col("__o").eqNullSafe(F.col("__s")))
+    quota = F.element_at("__full", -1)
+    times = F.floor((F.greatest(quota - F.col("__rank"), F.lit(0)) + F.col("__blocks") - 1) / F.col("__blocks"))
+    first_shard = F.when(F.col("__rank") < quota, F.size(F.filter("__full", lambda n: n <= F.col("__rank"))))
+    ranks = ranks.select("__o", "__b", times.alias("__times"), first_shard.alias("__shard"))
+    middle = F.when(b == F.col("__middle"), F.col("__times"))
+    words = F.least(start + size, (b + 1) * block) - F.greatest(start, b * block)
+    row = ["doc_id", "source", "size", "__crc", "__first"]
+    taken = spans.join(ranks, F.col("source").eqNullSafe(F.col("__o")) & (b == F.col("__b"))).groupBy(*row).agg(
+        F.sum(words * F.col("__times")).cast("long").alias("taken"), F.max(middle).cast("int").alias("copies"), F.max(F.when(b == F.col("__middle"), F.col("__shard"))).cast("int").alias("first_shard")
     )
-    middle = F.floor((start + F.floor(size / 2)) / unit)
-    out = joined.select("doc_id", "size", "source_size", "target", (F.col("__rounds") * size + part).cast("long").alias("taken"), F.when(size > 0, F.col("__rounds") + chosen(middle).cast("int")).otherwise(0).cast("int").alias("copies"), F.col("__crc").alias("text_crc32"), "source")
-    return out, shared.drop("block")
+    nothing = lines.filter(size == 0).select(*row, F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(None).cast("int").alias("first_shard"))
+    out = taken.union(nothing).join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_shard", F.col("__crc").alias("text_crc32"), "source"), shared

@@ -35,7 +35,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "copies", "first_shard")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,14 @@ f AS (SELECT *, [1, 2, 3][(n % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3::
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM f WINDOW w AS (ORDER BY fill, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT arg_min(level, (fill, n)) FROM l WHERE level <= fill)), 0)::DOUBLE AS target FROM f),
 m AS (SELECT round(sum(target) / 512)::BIGINT AS seats FROM t),
-q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place FROM t, range((SELECT seats FROM m) + 1) r(k)), m WHERE place <= seats GROUP BY source),
-p AS (SELECT t.source, source_size, target, greatest(ceil(source_size / 512), 1)::BIGINT AS blocks, least(coalesce(quota, 0), 3 * greatest(ceil(source_size / 512), 1))::BIGINT AS quota FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
-y AS (SELECT *, quota // blocks AS rounds, quota % blocks AS rest, ('0x' || substr(md5(coalesce(source, 'null') || '/1/turn'), 1, 13))::BIGINT % blocks AS turn FROM p),
-x AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/1/mix'), 1, 13))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
-z AS (SELECT x.*, source_size, target, blocks, rounds, rest, turn FROM x JOIN y ON x.source IS NOT DISTINCT FROM y.source)
-SELECT doc_id, size, source_size, target, (rounds * size + list_sum(list_transform(range(start // 512, (start + greatest(size, 1) - 1) // 512 + 1), lambda b: CASE WHEN (b * 2147483647 + turn) % blocks < rest THEN least(start + size, (b + 1) * 512) - greatest(start, b * 512) ELSE 0 END)))::BIGINT AS taken,
-CASE WHEN size > 0 THEN rounds + ((((start + size // 2) // 512) * 2147483647 + turn) % blocks < rest)::INT ELSE 0 END::INTEGER AS copies FROM z"""
+q AS (SELECT source, {", ".join(f"count(*) FILTER (place <= seats * {k} // 8) AS q{k}" for k in range(1, 9))} FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place FROM t, range((SELECT seats FROM m) + 1) r(k)), m WHERE place <= seats GROUP BY source),
+p AS (SELECT t.source, source_size, target, greatest(ceil(source_size / 512), 1)::BIGINT AS blocks, list_transform([{", ".join(f"q{k}" for k in range(1, 9))}], lambda x: least(coalesce(x, 0), 3 * greatest(ceil(source_size / 512), 1)::BIGINT)) AS upto FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
+x AS (SELECT doc_id, source, size, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/1/mix'), 1, 13))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+b AS (SELECT p.*, k AS block, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(coalesce(source, 'null') || '/1/' || k || '/block'), 1, 13))::BIGINT, k) - 1 AS rank FROM p, range((SELECT max(blocks) FROM p)) r(k) WHERE k < blocks),
+c AS (SELECT *, (greatest(upto[8] - rank, 0) + blocks - 1) // blocks AS times, CASE WHEN rank < upto[8] THEN len(list_filter(upto, lambda n: n <= rank)) END AS shard FROM b),
+z AS (SELECT id, sum((least(start + size, (block + 1) * 512) - greatest(start, block * 512)) * times) AS taken, max(CASE WHEN block = (start + size // 2) // 512 THEN times END) AS copies, max(CASE WHEN block = (start + size // 2) // 512 THEN shard END) AS shard
+FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source AND block BETWEEN start // 512 AND (start + size - 1) // 512 WHERE size > 0 GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(copies, 0)::INTEGER AS copies, shard::INTEGER AS first_shard FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source LEFT JOIN z ON x.id = z.id"""
 
 JOIN = f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}'), lambda x: x <> '') AS ws FROM documents),

@@ -267,6 +267,30 @@ def test_mix(docs, empty):
     assert mixing.mix(empty)[0].count() == 0
 
 
+def test_blocks_are_taken_in_seeded_order(docs):
+    """Every source's line of words, cut into blocks, against a plain walk through its shards' quotas."""
+    mixed, shared = (x.collect() for x in mixing.mix(docs, block=16, seed=3))
+    quota, lines = {}, {}
+    for r in shared:
+        quota.setdefault(r.source, [0] * 8)[r.shard] = r.quota
+    for r in mixed:
+        lines.setdefault(r.source, []).append(r)
+    for source, rows in lines.items():
+        rows.sort(key=lambda r: (key52("null" if r.doc_id is None else r.doc_id, 3, "mix"), r.doc_id is not None, r.doc_id, r.text_crc32, r.size))
+        n = max(1, -(-sum(r.size for r in rows) // 16))
+        order = sorted(range(n), key=lambda b: (key52("null" if source is None else source, 3, b, "block"), b))
+        uses = {}
+        for place in range(min(sum(quota[source]), 3 * n)):
+            shard = next(s for s in range(8) if place < sum(quota[source][: s + 1]))
+            uses.setdefault(order[place % n], []).append(shard)
+        at, want = 0, []
+        for r in rows:
+            of = uses.get((at + r.size // 2) // 16, []) if r.size else []
+            want.append((r.doc_id, r.text_crc32, sum(len(uses.get(k // 16, [])) for k in range(at, at + r.size)), len(of), min(of, default=None)))
+            at += r.size
+        assert many((r.doc_id, r.text_crc32, r.taken, r.copies, r.first_shard) for r in rows) == many(want)
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 
 
