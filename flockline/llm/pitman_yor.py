@@ -31,16 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockline.llm.common import written
+from flockline.llm.common import discard, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: No word is a line feed, so it stands for the end.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: At most so many words are common: the bound of what is broadcast.
 COMMON = 100_000
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 CHUNK_DOCS = 65_000
-BUCKET_TOKENS = 750_000
+BUCKET_TOKENS = 500_000
 #: Documents whose partial sums a scoring task holds before it passes them on.
 HELD_DOCS = 400_000
 #: Of the root and of contexts. At one half the number of seatings has a closed form, so that tables are drawn exactly for any count.
@@ -147,6 +147,7 @@ def counted(docs: DataFrame) -> Words:
             break
         least = low
     common = counts.filter(F.col("c") >= least).collect() if least is not None else []
+    discard(counts)
     h = np.array([r[0] for r in common], np.int64).view(np.uint64)
     order = np.argsort(h)
     n = sum(s[2] for s in steps)
@@ -448,6 +449,7 @@ def sampled(buckets: DataFrame, known: Words, sweeps: int, seed: int) -> tuple[l
         got = passed.filter("bucket < 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
         far_tables.append(shared(passed.filter("bucket >= 0"), k))
         seen = far_tables[-1].select(F.explode(F.arrays_zip("keys", "times")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.times").alias("times")).collect()
+        discard(passed)
         some = [{r.key // 3: r.times for r in seen if r.key % 3 == kind} for kind in range(3)]
         total = np.zeros(2 * size + common + 2, np.int64)
         total[got.column("id").to_numpy()] = got.column("n").to_numpy()
