@@ -158,9 +158,10 @@ def vc_route_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DIRS}, {top_sql(10)}, p AS (SELECT least(q, nbr) AS l, greatest(q, nbr) AS r, max(CASE WHEN q < nbr THEN rank END) AS f, max(CASE WHEN q > nbr THEN rank END) AS b FROM top GROUP BY 1, 2), s AS (SELECT q, list(nbr) AS s FROM top GROUP BY 1),
-sh AS (SELECT p.l, p.r, count(*) AS shared, avg(least(x.score, y.score)) AS m, max(least(x.score, y.score)) AS b FROM p JOIN top x ON x.q = p.l JOIN top y ON y.q = p.r AND y.nbr = x.nbr GROUP BY 1, 2)
-SELECT p.l, p.r, round((coalesce(f, 11) + coalesce(p.b, 11)) / 2 / 124, 6) AS pct_mean, round(abs(coalesce(f, 11) - coalesce(p.b, 11)) / 124, 6) AS pct_gap, round((1 / coalesce(f, 11) + 1 / coalesce(p.b, 11)) / 2, 6) AS reciprocal_mean, (f IS NOT NULL AND p.b IS NOT NULL)::BIGINT AS mutual,
-coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / len(list_distinct(list_concat(x.s, y.s))), 6) AS shared_jaccard, round(coalesce(m, 0), 6) AS shared_mean, round(coalesce(sh.b, 0), 6) AS shared_best FROM p JOIN s x ON x.q = l JOIN s y ON y.q = r LEFT JOIN sh ON sh.l = p.l AND sh.r = p.r""")
+sh AS (SELECT p.l, p.r, count(*) AS shared, avg(least(x.score, y.score)) AS m, max(least(x.score, y.score)) AS b FROM p JOIN top x ON x.q = p.l JOIN top y ON y.q = p.r AND y.nbr = x.nbr GROUP BY 1, 2),
+sz AS (SELECT id, count(*) OVER (PARTITION BY dataset) - 1 AS n FROM emb)
+SELECT p.l, p.r, round((coalesce(f, 11) + coalesce(p.b, 11)) / 2 / sz.n, 6) AS pct_mean, round(abs(coalesce(f, 11) - coalesce(p.b, 11)) / sz.n, 6) AS pct_gap, round((1 / coalesce(f, 11) + 1 / coalesce(p.b, 11)) / 2, 6) AS reciprocal_mean, (f IS NOT NULL AND p.b IS NOT NULL)::BIGINT AS mutual,
+coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / len(list_distinct(list_concat(x.s, y.s))), 6) AS shared_jaccard, round(coalesce(m, 0), 6) AS shared_mean, round(coalesce(sh.b, 0), 6) AS shared_best FROM p JOIN sz ON sz.id = p.l JOIN s x ON x.q = l JOIN s y ON y.q = r LEFT JOIN sh ON sh.l = p.l AND sh.r = p.r""")
 def vc_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VC16 and VC18 of the top 10, and VC14 with 11 for every rank beyond; the dataset's size is counted. vc_rank_percentiles has the ranks over all scores."""
     top = near(spark, sf_dir, 10)
@@ -318,7 +319,7 @@ def cl_first_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, component, size, round(CASE WHEN size > 1 THEN coalesce(edges, 0) / (size * (size - 1) / 2) ELSE 0 END, 6) AS density, size BETWEEN 2 AND 4 AND CASE WHEN size > 1 THEN coalesce(edges, 0) / (size * (size - 1) / 2) ELSE 0 END >= 0.66 AS is_seed FROM comp JOIN z USING (component) LEFT JOIN g USING (component)""")
 def cl_seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL24."""
-    mutual = X.rank_features(near(spark, sf_dir, 2), 125, 2).where("mutual = 1")
+    mutual = X.rank_features(near(spark, sf_dir, 2), dataset_size(spark, sf_dir), 2).where("mutual = 1")
     return G.seed_clusters(items(spark, sf_dir), mutual, 0.66, 4).withColumn("density", F.round("density", 6))
 
 
@@ -355,7 +356,7 @@ EDGES = f"WITH {DIRS}, {top_sql(10)}, f AS (SELECT least(q, nbr) AS l, greatest(
 @query(f"{EDGES} SELECT l, r, CASE WHEN score >= 0.35 THEN 'strong' WHEN score >= 0.25 AND mutual THEN 'weak' ELSE 'reject' END AS edge FROM f")
 def cl_edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL27."""
-    f = X.rank_features(near(spark, sf_dir, 10), 125, 10).withColumn("shared", F.lit(0))
+    f = X.rank_features(near(spark, sf_dir, 10), dataset_size(spark, sf_dir), 10).withColumn("shared", F.lit(0))
     return G.edge_kinds(f, 0.35, 0.25, 1).select("l", "r", "edge")
 
 
@@ -683,7 +684,7 @@ def rv_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("SELECT s_suppkey AS pair FROM supplier WHERE s_suppkey % 3 <> 0 ORDER BY ((s_suppkey - 51) % 100 + 100) % 100 LIMIT 1")
+@query("SELECT s_suppkey AS pair FROM supplier, (SELECT greatest(max(s_suppkey), 51) AS n FROM supplier) WHERE s_suppkey % 3 <> 0 ORDER BY (s_suppkey - 51 + n) % n LIMIT 1")
 def rv_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RV14, RV16."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pair"))
