@@ -102,7 +102,7 @@ def disagreement(pairs: DataFrame, members: DataFrame, node: str, methods: list[
             "conflict_ratio": conflicts / len(others),
             "balance": clipped(1 - F.abs(together - 0.5) / 0.5),
             "border": clipped(1 - F.abs(F.col(probability) - threshold) / max(width, 1e-6)),
-            "direction": F.when(conflicts == 0, "none").when(base_same == 0, "merge").otherwise("split"),
+            "direction": F.when(conflicts == 0, "agree").when(base_same == 0, "merge").otherwise("split"),
             "conflict_methods": F.concat_ws("|", *[F.when(d, F.lit(m)) for m, d in zip(others, differ, strict=True)]),
         }
     )

@@ -493,7 +493,7 @@ VOTES = f"""{PRS}, w AS (SELECT id, dataset || '_' || (label % 5)::VARCHAR AS r1
 s AS (SELECT l, r, (score + 1) / 2 AS p, (a.r1 = b.r1)::INT AS s1, (a.r2 = b.r2)::INT AS s2, (a.r3 = b.r3)::INT AS s3 FROM prs JOIN w a ON a.id = l JOIN w b ON b.id = r WHERE score >= 0.15),
 v AS (SELECT *, (s2 <> s1)::BIGINT + (s3 <> s1)::BIGINT AS c, (s1 + s2 + s3) / 3 AS tog FROM s),
 d AS (SELECT l, r, p, CASE WHEN s1 = 0 THEN c ELSE 0 END AS merge_votes, CASE WHEN s1 = 1 THEN c ELSE 0 END AS split_votes, round(c / 2, 6) AS conflict_ratio, round(least(1, greatest(0, 1 - abs(tog - 0.5) / 0.5)), 6) AS balance, round(least(1, greatest(0, 1 - abs(p - 0.6) / 0.1)), 6) AS border,
-CASE WHEN c = 0 THEN 'none' WHEN s1 = 0 THEN 'merge' ELSE 'split' END AS direction, CASE WHEN s2 <> s1 AND s3 <> s1 THEN 'r2|r3' WHEN s2 <> s1 THEN 'r2' WHEN s3 <> s1 THEN 'r3' ELSE '' END AS conflict_methods,
+CASE WHEN c = 0 THEN 'agree' WHEN s1 = 0 THEN 'merge' ELSE 'split' END AS direction, CASE WHEN s2 <> s1 AND s3 <> s1 THEN 'r2|r3' WHEN s2 <> s1 THEN 'r2' WHEN s3 <> s1 THEN 'r3' ELSE '' END AS conflict_methods,
 round(0.50 * c / 2 + 0.30 * least(1, greatest(0, 1 - abs(p - 0.6) / 0.1)) + 0.20 * least(1, greatest(0, 1 - abs(tog - 0.5) / 0.5)), 6) AS ambiguity FROM v)"""
 
 

@@ -145,7 +145,7 @@ def test_shared_neighbours(spark):
 def test_constrained_merges(spark):
     p = spark.createDataFrame([("d", 1, 2, 0.1, "yes"), ("d", 1, 3, 0.1, "yes"), ("d", 2, 3, 0.9, "no")], "dataset string, l long, r long, score double, label string")
     out = linkage.constrained(p, 0.5)
-    assert rows(out, "step", "l", "r", "decision", "blocking") == [(0, 1, 2, "merge", None), (1, 1, 3, "blocked", "2|3"), (2, 2, 3, "skip_no", None)]
+    assert rows(out, "step", "l", "r", "decision", "blocking") == [(0, 1, 2, "merge", None), (1, 1, 3, "blocked", "2|3"), (2, 2, 3, "skip_manual_no", None)]
     assert {r[0] for r in out.select(F.explode(F.array("l_component", "r_component"))).collect()} == {1, 3}
 
 
