@@ -203,31 +203,34 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
-def components(nodes: DataFrame, links: DataFrame, node: str, name: str = "component", rounds: int = 40) -> DataFrame:
-    """``node`` and ``name``: the least node reachable by ``links`` (a, b), by alternating large and small stars.
-
-    Each round's links are written and counted; stars halve the depth of trees, so
-    rounds grow with the logarithm of the longest chain. Every step groups by node
-    and takes a minimum before it joins; no component meets in one task.
+def settled(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """a, m: of each end of ``links`` (a, b) the least node reachable, by alternating large and small stars; a written table.
+
+    Every round writes each node's least and largest neighbour, and ends where no
+    node with a smaller neighbour has another: all trees are stars then. Stars halve
+    the depth of trees, so rounds grow with the logarithm of the longest chain. Every
+    step groups by node and takes a minimum before it joins; no component meets in
+    one task. Links may repeat; a round drops repeats before it joins.
     """
-    links = last = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    fingerprint, before = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))], None
+    links = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     for _ in range(rounds):
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ends = written(links.union(back).groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.max("b").alias("x")), "ends")
+        if ends.filter("m < a and x > m").isEmpty():
+            discard(links)
+            return ends
+        large = back.join(ends, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b")
-        small = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        discard(last)
-        links = last = small
-        now = small.agg(*fingerprint).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return nodes.join(links.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col(node) == F.col("__a"), "left").select(node, F.coalesce("__b", node).alias(name))
+        small = written(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))), "links")
+        discard(links, ends)
+        links = small
+    raise RuntimeError("the components did not settle")
+
+
+def components(nodes: DataFrame, links: DataFrame, node: str, name: str = "component") -> DataFrame:
+    """``node`` and ``name``: the least node reachable by ``links`` (a, b)."""
+    found = settled(links).select(F.col("a").alias("__a"), F.col("m").alias("__m"))
+    return nodes.join(found, F.col(node) == F.col("__a"), "left").select(node, F.coalesce("__m", node).alias(name))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,9 +273,11 @@ def contracted(placed: DataFrame, links: DataFrame) -> DataFrame:
     ends = links
     for end in ("a", "b"):
         ends = ends.join(placed.select(F.col("class").alias(end), F.col("component").alias(f"c{end}")), end)
-    ends = ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
-    joined_ = components(ends.select(F.col("a").alias("component")).union(ends.select("b")).distinct(), ends, "component", "least")
-    return written(placed.join(joined_, "component", "left").select("class", F.coalesce("least", "component").alias("component")), "join-components")
+    moved = settled(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    found = moved.select(F.col("a").alias("component"), F.col("m").alias("least"))
+    out = written(placed.join(found, "component", "left").select("class", F.coalesce("least", "component").alias("component")), "join-components")
+    discard(moved)
+    return out
 
 
 def between(members: DataFrame, placed: DataFrame) -> DataFrame:
@@ -458,7 +463,7 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     wanted = written(members.select("class").distinct(), "join-wanted")
     size = 1 << int(np.clip(wanted.count() * MARKS_EACH, 1 << 10, MARKS_MOST)).bit_length() - 1
     with shuffles_removed(spark):
-        spots = wanted.join(classes, "class").select((F.col("name") % size).alias("m")).distinct().toArrow().column("m").to_numpy()
+        spots = wanted.select((name % size).alias("m")).distinct().toArrow().column("m").to_numpy()
     marks = np.zeros(size, bool)
     marks[spots] = True
     marks = np.packbits(marks)
@@ -484,7 +489,7 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     least = members.groupBy("place").agg(F.min("class").alias("a"))
     tried = written(members.join(least, "place").filter("a < class").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
     links = written(verified(tried, sets, percent), "join-links")
-    placed = components(wanted, links, "class")
+    placed = written(components(wanted, links, "class"), "join-components")
     open_ = between(members, placed)
     for step in (stars, lambda rows: cross_pairs(allotted(rows, sets, percent).join(placed, "class"), sets, percent)):
         if open_.isEmpty():

@@ -637,6 +637,25 @@ def test_join(spark, monkeypatch, percent, shingle, pair_cost):
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, shingle, percent)
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_components_settle(spark, kind):
+    draw = random.Random(kind)
+    n = 300
+    links = {"chain": [(i, i + 1) for i in range(n - 1)], "star": [(0, i) for i in range(1, n)], "random": [(draw.randrange(n), draw.randrange(n)) for _ in range(n * 2 // 3)], "none": []}[kind]
+    names = list(range(n))
+    draw.shuffle(names)
+    links = [(names[a], names[b]) for a, b in links * 2]
+    of = list(range(n))
+    for _ in range(n):
+        before = of[:]
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+        if of == before:
+            break
+    found = segjoin.components(spark.range(n), spark.createDataFrame(links, "a long, b long"), "id").collect()
+    assert sorted((r.id, r.component) for r in found) == list(enumerate(of))
+
+
 def test_join_on_hard_rows(docs, empty):
     found = segjoin.joined(docs).collect()
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components([(r[0], r[1]) for r in corpus()], 3, 90)
