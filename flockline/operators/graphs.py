@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockline.operators.aggregates import joined_names
 from flockline.operators.ranking import mirrored, ranked
+from flockline.operators.sets import positions
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,26 +35,21 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", left: str =
     """node, component: the least node reachable along edges in either direction.
 
     Alternates large and small stars: every node points at the least of its
-    neighbourhood, so trees flatten in logarithmic rounds. Each round takes minima
-    map-side and writes its edges; no component is gathered.
+    neighbourhood, so trees flatten in logarithmic rounds, which end where no node
+    with a smaller neighbour has another. Each round takes minima map-side and writes
+    its edges; no component is gathered.
     """
-    e = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
-    e = materialized(e)
-    fingerprint, before = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))], None
+    e = materialized(edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")))
     for _ in range(rounds):
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ends = materialized(e.union(back).groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.max("b").alias("x")))
+        if ends.where("m < a and x > m").isEmpty():
+            found = ends.select(F.col("a").alias(node), F.col("m").alias("component"))
+            return nodes.select(node).join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
+        large = back.join(ends, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        small = materialized(small)
-        e, now = small, small.agg(*fingerprint).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return nodes.select(node).join(e.select(F.col("a").alias(node), F.col("b").alias("component")), node, "left").select(node, F.coalesce("component", node).alias("component"))
+        e = materialized(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))))
+    raise RuntimeError("the components did not settle")
 
 
 def adjacency(pairs: DataFrame, threshold: float, k: int | None = None, mutual: bool = False, score: str = "score") -> DataFrame:
@@ -96,8 +95,9 @@ def seed_clusters(items: DataFrame, pairs: DataFrame, least_density: float, most
 
 
 def edge_kinds(pairs: DataFrame, strong: float, weak: float, least_shared: int, score: str = "score") -> DataFrame:
-    """strong, weak or reject; a weak edge also needs a mutual rank, shared neighbours, or local evidence."""
-    helped = (F.col("mutual") == 1) | (F.col("shared") >= least_shared)
+    """strong, weak or reject; a weak edge also needs shared neighbours, a mutual rank, the same orientation, or local support. A column that is missing or null helps none."""
+    gates = {"shared": least_shared, "mutual": 1, "same_orientation": 1, "support": 1}
+    helped = reduce(or_, [F.coalesce(F.col(c) >= least, F.lit(False)) for c, least in gates.items() if c in pairs.columns], F.lit(False))
     return pairs.withColumn("edge", F.when(F.col(score) >= strong, "strong").when((F.col(score) >= weak) & helped, "weak").otherwise("reject"))
 
 
@@ -136,9 +136,34 @@ def majority_moves(members: DataFrame, found: DataFrame, node: str, cluster: str
 
 
 def fresh_ids(groups: DataFrame, members: DataFrame, group: str, cluster: str, name: str = "fresh") -> DataFrame:
-    """A new cluster id for each group, from the largest in use on; the groups are few (one task numbers them)."""
+    """A new cluster id for each group (distinct numbers), in their order, from the largest in use on."""
     top = members.agg(F.max(cluster).alias("__top"))
-    return groups.join(F.broadcast(top)).withColumn(name, (F.col("__top") + F.row_number().over(Window.orderBy(group))).cast("long")).drop("__top")
+    return positions(groups, group, name).join(F.broadcast(top)).withColumn(name, (F.col("__top") + 1 + F.col(name)).cast("long")).drop("__top")
+
+
+def relabelled(members: DataFrame, found: DataFrame, stats: DataFrame, node: str, cluster: str) -> DataFrame:
+    """``final``: a fresh cluster id for each component of two or more (numbers), larger ones first, then by component; other members keep their cluster. ``size`` is null for them."""
+    chosen = materialized(stats.where("size > 1").select("component", "size"))
+    order = positions(chosen, "component", "__place").withColumn("__key", F.col("__place") - F.col("size") * chosen.count())
+    new = fresh_ids(order, members, "__key", cluster).select("component", "size", "fresh")
+    out = members.join(found, node).join(new, "component", "left")
+    return out.withColumn("final", F.coalesce("fresh", F.col(cluster).cast("long"))).drop("fresh")
+
+
+def graph_merges(cuts: DataFrame, base: DataFrame, pairs: DataFrame, node: str, cluster: str) -> DataFrame:
+    """Components (threshold, component, node) that span several base clusters: bases, mean and least score of the pairs inside, and the thresholds at which the same set appears.
+
+    Components of nested thresholds are equal where their least member and size are.
+    """
+    members = cuts.join(base.select(node, cluster), node)
+    by = ["threshold", "component"]
+    spans = members.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.count_distinct(cluster).alias("base_clusters"), joined_names(cluster).alias("bases")).where("base_clusters > 1")
+    inside = members.join(spans.select(*by), by, "left_semi")
+    left, right = inside.select(F.col(node).alias("l"), *by), inside.select(F.col(node).alias("r"), *by)
+    scores = pairs.select("l", "r", "score").join(left, "l").join(right, ["r", *by]).groupBy(*by).agg(F.avg("score").alias("mean"), F.min("score").alias("least"))
+    names = F.array_join(F.array_sort(F.collect_set(F.col("threshold").cast("string"))), "|")
+    out = spans.join(scores, by).groupBy(F.col("component").alias("least_member"), "size")
+    return out.agg(F.max("base_clusters").alias("base_clusters"), F.max("bases").alias("bases"), F.round(F.max("mean"), 6).alias("mean_score"), F.round(F.min("least"), 6).alias("min_score"), F.count(F.lit(1)).alias("stable_count"), names.alias("stable_thresholds"))
 
 
 def split_violations(members: DataFrame, cannot: DataFrame, protected: DataFrame, node: str, cluster: str) -> DataFrame:

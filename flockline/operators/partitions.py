@@ -208,3 +208,21 @@ def constraint_agreement(members: DataFrame, registry: DataFrame, node: str, clu
         return F.round(F.coalesce(F.try_divide(F.sum(F.when(good & of, w).otherwise(0)), F.sum(F.when(of, w).otherwise(0))), zero), 6)
 
     return out.agg(ratio(same, must).alias("must_agreement"), ratio(~same, ~must).alias("cannot_agreement"), ratio(same == must, F.lit(True)).alias("agreement"), F.count(F.lit(1)).alias("pairs"))
+
+
+def proxy_rows(labels: DataFrame, seeds: DataFrame, candidates: DataFrame, anchor: DataFrame, recall: DataFrame, node: str, cluster: str, label: str, keys: list[str]) -> DataFrame:
+    """What can be said of each partition (keys) without labels: clusters and the largest, agreement with seeds and with an anchor partition, shares of candidate and mutual pairs kept together, and the proxy of these.
+
+    seeds: node, label; candidates: l, r, mutual; anchor: node, anchor; recall: one row with seed_recall.
+    """
+    sizes = labels.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("n"))
+    out = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
+    for name, other, column in (("seed_agreement", seeds, label), ("anchor_agreement", anchor, "anchor")):
+        out = out.join(pair_metrics(labels.join(other, node), column, cluster, keys).select(*keys, F.col("rand").alias(name)), keys, "left")
+    left, right = (labels.select(F.col(node).alias(end), *keys, F.col(cluster).alias(f"__{end}")) for end in "lr")
+    same = (F.col("__l") == F.col("__r")).cast("int")
+    kept = candidates.join(left, "l").join(right, ["r", *keys]).groupBy(*keys).agg(F.avg(same).alias("candidate_keep"), F.avg(F.when(F.col("mutual"), same)).alias("mutual_keep"))
+    out = out.join(kept, keys, "left").withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("candidate_keep", "mutual_keep")})
+    out = out.join(F.broadcast(anchor.agg(F.count_distinct("anchor").alias("__anchors")))).join(F.broadcast(recall))
+    out = out.withColumn("cluster_delta", F.abs(F.col("clusters") - F.col("__anchors"))).drop("__anchors")
+    return out.withColumn("proxy", F.round(proxy(F.col("seed_agreement"), F.col("mutual_keep"), F.col("seed_recall"), F.col("cluster_delta"), F.col("largest")), 6))

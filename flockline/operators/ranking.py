@@ -50,13 +50,15 @@ def duplicate_flags(df: DataFrame, digest: str, order: list[str]) -> DataFrame:
 
 
 def best_thresholds(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """The best row of each key: by ari, nmi and f1, then the lowest threshold."""
+    """The best row of each key: by ari, nmi and f1, then the lowest threshold; without metrics the fewest clusters, then the lowest threshold."""
+    if "ari" not in metrics.columns:
+        return best_rows(metrics, keys, [F.col("clusters"), F.col("threshold")])
     return best_rows(metrics, keys, [F.col("ari").desc_nulls_last(), F.col("nmi").desc_nulls_last(), F.col("f1").desc_nulls_last(), F.col("threshold").asc()])
 
 
-def best_proxy(metrics: DataFrame) -> DataFrame:
-    """Without labels: the best proxy, the least change of cluster count, the smallest largest cluster, the lowest threshold."""
-    return metrics.orderBy(F.col("proxy").desc_nulls_last(), F.abs("cluster_delta").asc_nulls_last(), F.col("largest").asc(), F.col("threshold").asc()).limit(1)
+def best_proxy(metrics: DataFrame, ties: list[Column]) -> DataFrame:
+    """Without labels: the best proxy, the least change of cluster count, the smallest largest cluster, the lowest threshold, then ``ties``."""
+    return metrics.orderBy(F.col("proxy").desc_nulls_last(), F.abs("cluster_delta").asc_nulls_last(), F.col("largest").asc(), F.col("threshold").asc(), *ties).limit(1)
 
 
 def in_band_first(results: DataFrame, low: int, high: int, centre: int, order: list[Column]) -> DataFrame:
@@ -100,3 +102,25 @@ def partition_signature(members: DataFrame, keys: list[str], node: str, cluster:
     """SHA-1 of 'node:cluster' entries in node order. For partitions of one dataset."""
     entries = F.array_sort(F.collect_list(F.struct(F.col(node).alias("n"), F.col(cluster).alias("c"))))
     return members.groupBy(*keys).agg(F.sha1(F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x["n"].cast("string"), x["c"].cast("string"))), "|")).alias("signature"))
+
+
+def unique_pairs(directed: DataFrame, sided: list[str], order: list[Column]) -> DataFrame:
+    """Directed results (q, nbr) as pairs l < r, the first row of each in ``order``; the columns q_<name> and nbr_<name> of ``sided`` become l_<name> and r_<name>. An item with itself is no pair."""
+    swap = F.col("q") > F.col("nbr")
+    ends = {}
+    for name in sided:
+        a, b = F.col(f"q_{name}"), F.col(f"nbr_{name}")
+        ends |= {f"l_{name}": F.when(swap, b).otherwise(a), f"r_{name}": F.when(swap, a).otherwise(b)}
+    pairs = directed.where("q <> nbr").withColumns({"l": F.least("q", "nbr"), "r": F.greatest("q", "nbr"), **ends})
+    return best_rows(pairs.drop("q", "nbr", *[f"{e}_{n}" for e in ("q", "nbr") for n in sided]), ["l", "r"], order)
+
+
+def cross_cluster_pairs(directed: DataFrame, members: DataFrame, node: str, cluster: str, order: list[Column]) -> DataFrame:
+    """The first row in ``order`` of each pair l < r of known members in different clusters, with both clusters."""
+    known = with_endpoints(unique_pairs(directed, [], order), members, node, [cluster])
+    return known.where(F.col(f"l_{cluster}") != F.col(f"r_{cluster}"))
+
+
+def placed(grid: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of a grid of parameters with their rank; one task numbers them."""
+    return grid.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))

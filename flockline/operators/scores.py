@@ -157,3 +157,73 @@ def probability_residual(score: Column, p: Column, scale: float) -> Column:
 def windowed_margin(rows: DataFrame, keys: list[str], order: list[Column], score: str) -> DataFrame:
     """Each row's margin over the next of its key."""
     return rows.withColumn("margin", F.col(score) - F.coalesce(F.lead(score).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0.0)))
+
+
+#: Columns of pairs by family, and the families of each named feature set.
+FEATURES = {
+    "base": ["route", "fusion", "student", "distill", "route_minus_fusion", "route_minus_student", "student_minus_distill", "inliers", "matches", "l_keypoints", "r_keypoints", "keypoint_min", "keypoint_max", "inlier_ratio", "match_density"],
+    "dual": ["masked_student", "masked_distill", "student_masked_mean", "student_masked_gap", "student_cross_mean", "student_cross_max", "distill_masked_mean", "distill_masked_gap", "distill_cross_mean", "distill_cross_max", "dual_mean", "dual_cross_mean"],
+    "graph": ["pct_lr", "pct_rl", "pct_mean", "pct_gap", "reciprocal_mean", "mutual", "shared", "shared_jaccard", "shared_mean", "shared_best"],
+    "meta": ["orientation_pair", "same_orientation", "day_gap"],
+    "patch": ["corr", "absdiff", "iou", "patch_support_score", "patch_veto_score"],
+}
+#: Names of the feature sets.
+FEATURE_SETS = {"basic": ["base"], "dual_view_v1": ["base", "dual"], "meta_graph_v1": ["base", "meta", "graph"], "meta_graph_dual_view_v1": ["base", "dual", "meta", "graph"], "yellow_v1": ["base", "patch"], "meta_graph_yellow_v1": ["base", "patch", "meta", "graph"]}
+
+
+def feature_columns(name: str) -> list[str]:
+    """The columns of a named feature set, in order."""
+    if name not in FEATURE_SETS:
+        raise ValueError(f"no feature set is called {name}")
+    return [c for family in FEATURE_SETS[name] for c in FEATURES[family]]
+
+
+def pair_rows(pairs: DataFrame) -> DataFrame:
+    """Differences of the scores route, fusion, student and distill, and what inliers and matches are to the fewer keypoints (one at least)."""
+    low, high = F.greatest(F.lit(1).cast("long"), F.least("l_keypoints", "r_keypoints")), F.greatest("l_keypoints", "r_keypoints")
+    return pairs.withColumns(
+        {
+            "route_minus_fusion": F.col("route") - F.col("fusion"),
+            "route_minus_student": F.col("route") - F.col("student"),
+            "student_minus_distill": F.col("student") - F.col("distill"),
+            "keypoint_min": low,
+            "keypoint_max": high,
+            "inlier_ratio": F.col("inliers") / low,
+            "match_density": F.col("matches") / low,
+        }
+    )
+
+
+def dual_view(pairs: DataFrame, student_cross: tuple[Column, Column], distill_cross: tuple[Column, Column]) -> DataFrame:
+    """Means, gaps and maxima of whole, masked and crossed scores; a cross score has two directions."""
+    out, cross = pairs, {}
+    for name, (there, back) in (("student", student_cross), ("distill", distill_cross)):
+        whole, masked = F.col(name), F.col(f"masked_{name}")
+        cross[name] = (there + back) / 2
+        out = out.withColumns({f"{name}_masked_mean": (whole + masked) / 2, f"{name}_masked_gap": whole - masked, f"{name}_cross_mean": cross[name], f"{name}_cross_max": F.greatest(there, back)})
+    scores = [F.col(c) for c in ("student", "masked_student", "distill", "masked_distill")]
+    return out.withColumns({"dual_mean": sum(scores[1:], scores[0]) / 4, "dual_cross_mean": (F.col("student_cross_mean") + F.col("distill_cross_mean")) / 2})
+
+
+def pair_columns(pairs: DataFrame, k: int, floors: dict[str, float]) -> DataFrame:
+    """Ranks, ratios, local and patch evidence of pairs, with support and veto flags by ``floors``.
+
+    A rank that is null is k + 1; evidence that is null is none: 0, or 1 for absdiff.
+    """
+    zero, far = F.lit(0.0), F.lit(k + 1)
+    out = pairs.withColumns({"rank_lr": F.coalesce("rank_lr", far), "rank_rl": F.coalesce("rank_rl", far)})
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("l_ratio", "r_ratio", "local", "corr", "iou", "column_corr", "row_corr")} | {c: F.coalesce(c, F.lit(0)) for c in ("l_keypoints", "r_keypoints", "inliers", "matches")})
+    out = out.withColumns({"absdiff": F.coalesce("absdiff", F.lit(1.0)), "valid": F.coalesce("valid", F.lit(False)), "keypoint_min": F.greatest(F.lit(1).cast("long"), F.least("l_keypoints", "r_keypoints"))})
+    local, inliers, corr, absdiff, iou = (F.col(c) for c in ("local", "inliers", "corr", "absdiff", "iou"))
+    # The weights of both patch scores.
+    support = 0.35 * corr + 0.25 * iou + 0.20 * clipped(1 - absdiff) + 0.10 * clipped((F.col("column_corr") + 1) * 0.5) + 0.10 * clipped((F.col("row_corr") + 1) * 0.5)
+    veto = 0.40 * clipped(1 - F.greatest(corr, zero)) + 0.30 * clipped(absdiff) + 0.30 * clipped(1 - iou)
+    flags = {
+        "same_anchor": F.col("l_anchor") == F.col("r_anchor"),
+        "local_support": (local >= floors["local"]) & (inliers >= floors["inliers"]),
+        "local_veto": (local <= floors["veto_local"]) & (inliers <= floors["veto_inliers"]),
+        "patch_support": F.col("valid") & (corr >= floors["corr"]) & (absdiff <= floors["absdiff"]) & (iou >= floors["iou"]),
+        "patch_veto": F.col("valid") & (corr <= floors["veto_corr"]) & (absdiff >= floors["veto_absdiff"]) & (iou <= floors["veto_iou"]),
+    }
+    values = {"ratio_gap": F.abs(F.col("l_ratio") - F.col("r_ratio")), "inlier_ratio": inliers / F.col("keypoint_min"), "match_density": F.col("matches") / F.col("keypoint_min"), "patch_support_score": support, "patch_veto_score": veto}
+    return out.withColumns(values | {c: f.cast("int") for c, f in flags.items()})

@@ -16,7 +16,7 @@ from flockline.operators import ranking as R
 from flockline.operators import review as W
 from flockline.operators import scores as X
 from flockline.plans.catalog import query
-from flockline.plans.roles import DIRS, EMB, IMG, JDG, PRS, REG, comp_sql, half_sql, images, items, judgments, registry, route, top_sql, whole_registry
+from flockline.plans.roles import DIRS, EMB, IMG, JDG, PRS, WREG, comp_sql, half_sql, images, items, judgments, registry, route, top_sql
 from flockline.sources.tables import table
 
 T = 0.30  # a score threshold that suits these vectors
@@ -50,7 +50,7 @@ def wn_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DIRS}, {top_sql(5)} SELECT least(q, nbr) AS l, greatest(q, nbr) AS r, round(max(score), 6) AS score, count(*) AS directions, (any_value(a.label) = any_value(b.label))::BIGINT AS truth FROM top JOIN emb a ON a.id = least(q, nbr) JOIN emb b ON b.id = greatest(q, nbr) GROUP BY 1, 2")
 def wn_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN7, WN8, WN18-20."""
+    """WN7, WN8, WN18."""
     out = R.candidate_pairs(near(spark, sf_dir), items(spark, sf_dir), "id", "label")
     return out.select("l", "r", F.round("score", 6).alias("score"), "directions", F.col("truth").cast("bigint").alias("truth"))
 
@@ -79,7 +79,7 @@ GRID = "g AS (SELECT l_returnflag AS dataset, l_linenumber / 10.0 AS threshold,
 
 @query(f"WITH {GRID} SELECT dataset, threshold::DOUBLE AS threshold, ari, nmi, f1 FROM g QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ari DESC, nmi DESC, f1 DESC, threshold) = 1")
 def wn_best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN11-16."""
+    """WN11-14."""
     return R.best_thresholds(grid_rows(spark, sf_dir), ["dataset"]).select("dataset", F.col("threshold").cast("double").alias("threshold"), "ari", "nmi", "f1")
 
 
@@ -255,7 +255,7 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EMB}, {MEMBERS} SELECT a.id AS l, b.id AS r, count(*) AS votes, round(count(*) / 3, 6) AS score FROM mem a JOIN mem b ON a.route = b.route AND a.cluster = b.cluster AND a.id < b.id GROUP BY 1, 2")
 def vc_coassociation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VC37, VC38, MT26 (its table of votes)."""
+    """VC37, VC38; the table of votes of MT26."""
     return X.coassociation(routes(spark, sf_dir), "id", "route", "cluster").withColumn("score", F.round("score", 6))
 
 
@@ -353,11 +353,15 @@ def cl_stable_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = f"WITH {DIRS}, {top_sql(10)}, f AS (SELECT least(q, nbr) AS l, greatest(q, nbr) AS r, max(score) AS score, count(*) = 2 AS mutual FROM top GROUP BY 1, 2)"
 
 
-@query(f"{EDGES} SELECT l, r, CASE WHEN score >= 0.35 THEN 'strong' WHEN score >= 0.25 AND mutual THEN 'weak' ELSE 'reject' END AS edge FROM f")
+@query(f"""{EDGES}, sh AS (SELECT f.l, f.r, count(*) AS shared FROM f JOIN top x ON x.q = f.l JOIN top y ON y.q = f.r AND y.nbr = x.nbr GROUP BY 1, 2)
+SELECT f.l, f.r, CASE WHEN score >= 0.35 THEN 'strong' WHEN score >= 0.25 AND (mutual OR coalesce(shared, 0) >= 3 OR a.label % 7 = b.label % 7 OR (f.l + f.r) % 10 = 0) THEN 'weak' ELSE 'reject' END AS edge FROM f JOIN emb a ON a.id = f.l JOIN emb b ON b.id = f.r LEFT JOIN sh ON sh.l = f.l AND sh.r = f.r""")
 def cl_edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL27."""
-    f = X.rank_features(near(spark, sf_dir, 10), dataset_size(spark, sf_dir), 10).withColumn("shared", F.lit(0))
-    return G.edge_kinds(f, 0.35, 0.25, 1).select("l", "r", "edge")
+    top = near(spark, sf_dir, 10)
+    f = X.shared_neighbours(X.rank_features(top, dataset_size(spark, sf_dir), 10), top)
+    f = J.with_endpoints(f, items(spark, sf_dir).select("id", (F.col("label") % 7).alias("side")), "id", ["side"])
+    f = f.withColumns({"same_orientation": (F.col("l_side") == F.col("r_side")).cast("int"), "support": ((F.col("l") + F.col("r")) % 10 == 0).cast("int")})
+    return G.edge_kinds(f, 0.35, 0.25, 3).select("l", "r", "edge")
 
 
 @query()
@@ -368,26 +372,19 @@ def cl_singleton_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.attach_singletons(strong, p, 2)
 
 
-@query(f"WITH RECURSIVE {EMB}, {REG}, nodes AS (SELECT l AS id FROM reg UNION SELECT r FROM reg), m AS (SELECT l, r FROM reg WHERE constraint_type = 'must_link' AND support > 9), {comp_sql('nodes', 'm')} SELECT c.component, count(*) AS size, (SELECT count(*) FROM m JOIN comp a ON a.id = l WHERE a.component = c.component) AS must_links, (SELECT count(*) FROM reg JOIN comp a ON a.id = l JOIN comp b ON b.id = r WHERE constraint_type = 'cannot_link' AND a.component = b.component AND a.component = c.component) AS conflicts FROM comp c GROUP BY 1")
+@query(f"""WITH RECURSIVE {WREG}, nodes AS (SELECT l AS id FROM wreg UNION SELECT r FROM wreg), m AS (SELECT l, r FROM wreg WHERE constraint_type = 'must_link' AND support > 2), {comp_sql('nodes', 'm')},
+i AS (SELECT a.component, count(*) FILTER (WHERE constraint_type = 'must_link' AND support > 2) AS must_links, count(*) FILTER (WHERE constraint_type = 'cannot_link') AS conflicts FROM wreg JOIN comp a ON a.id = l JOIN comp b ON b.id = r WHERE a.component = b.component GROUP BY 1)
+SELECT component, count(*) AS size, coalesce(max(must_links), 0) AS must_links, coalesce(max(conflicts), 0) AS conflicts FROM comp LEFT JOIN i USING (component) GROUP BY 1""")
 def cl_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL38-40, CL51, CL58, JN32: on the folded registry, as the SQL has it; cl_constraints_whole has all supplies."""
-    return constraint_components(registry(spark, sf_dir))
-
-
-@query()
-def cl_constraints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL38-40, CL51, CL58, JN32 over all parts and suppliers."""
-    return constraint_components(whole_registry(spark, sf_dir))
-
-
-def constraint_components(r: DataFrame) -> DataFrame:
+    """CL38, CL39, CL58: components of must-links over all parts and suppliers."""
+    r = registry(spark, sf_dir)
     nodes = r.select(F.col("l").alias("id")).union(r.select(F.col("r").alias("id"))).distinct()
-    return G.constrained_components(nodes, r.where("constraint_type = 'must_link' and support > 9"), r.where("constraint_type = 'cannot_link'"))[1]
+    return G.constrained_components(nodes, r.where("constraint_type = 'must_link' and support > 2"), r.where("constraint_type = 'cannot_link'"))[1]
 
 
 @query(f"WITH {EMB}, {MEMBERS}, w AS (SELECT id, max(cluster) FILTER (WHERE route = 'r1') AS a, max(cluster) FILTER (WHERE route = 'r2') AS b FROM mem GROUP BY 1) SELECT b AS graph_cluster, count(DISTINCT a) AS base_clusters, string_agg(DISTINCT a, '|' ORDER BY a) AS bases, count(*) AS images FROM w GROUP BY 1 HAVING count(DISTINCT a) > 1")
 def cl_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL31-33, CL36."""
+    """CL31 and CL33, their counts; cl_graph_merges has scores and stability."""
     w = routes(spark, sf_dir).groupBy("id").pivot("route", ["r1", "r2"]).agg(F.min("cluster"))
     return w.groupBy(F.col("r2").alias("graph_cluster")).agg(F.count_distinct("r1").alias("base_clusters"), A.joined_names("r1").alias("bases"), F.count(F.lit(1)).alias("images")).where("base_clusters > 1")
 
@@ -438,26 +435,17 @@ def cl_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(gone, "id", "left").fillna(False, ["leaves"])
 
 
-@query(f"WITH {EMB}, {REG}, m AS (SELECT l AS id, l % 7 AS cluster FROM reg UNION SELECT r, r % 7 FROM reg) SELECT round(sum(support) FILTER (WHERE a.cluster = b.cluster AND constraint_type = 'must_link') / sum(support) FILTER (WHERE constraint_type = 'must_link'), 6) AS must_agreement, round(sum(support) FILTER (WHERE a.cluster <> b.cluster AND constraint_type = 'cannot_link') / sum(support) FILTER (WHERE constraint_type = 'cannot_link'), 6) AS cannot_agreement, round(sum(support) FILTER (WHERE (a.cluster = b.cluster) = (constraint_type = 'must_link')) / sum(support), 6) AS agreement, count(*) AS pairs FROM reg JOIN m a ON a.id = l JOIN m b ON b.id = r")
+@query(f"WITH {WREG}, m AS (SELECT l AS id, l % 7 AS cluster FROM wreg UNION SELECT r, r % 7 FROM wreg) SELECT round(sum(support) FILTER (WHERE a.cluster = b.cluster AND constraint_type = 'must_link') / sum(support) FILTER (WHERE constraint_type = 'must_link'), 6) AS must_agreement, round(sum(support) FILTER (WHERE a.cluster <> b.cluster AND constraint_type = 'cannot_link') / sum(support) FILTER (WHERE constraint_type = 'cannot_link'), 6) AS cannot_agreement, round(sum(support) FILTER (WHERE (a.cluster = b.cluster) = (constraint_type = 'must_link')) / sum(support), 6) AS agreement, count(*) AS pairs FROM wreg JOIN m a ON a.id = l JOIN m b ON b.id = r")
 def cl_constraint_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL57: on the folded registry, as the SQL has it; cl_constraint_agreement_whole has all supplies."""
-    return agreement_by_seven(registry(spark, sf_dir))
-
-
-@query()
-def cl_constraint_agreement_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL57 over all parts and suppliers."""
-    return agreement_by_seven(whole_registry(spark, sf_dir))
-
-
-def agreement_by_seven(r: DataFrame) -> DataFrame:
+    """CL57: with ids modulo 7 for clusters."""
+    r = registry(spark, sf_dir)
     nodes = r.select(F.col("l").alias("id")).union(r.select(F.col("r").alias("id"))).distinct().withColumn("cluster", F.col("id") % 7)
     return P.constraint_agreement(nodes, r, "id", "cluster")
 
 
 @query(f"WITH {PRS}, g AS (SELECT id, dataset || '_' || label::VARCHAR AS g FROM emb), b AS (SELECT least(a.g, b.g) AS ga, greatest(a.g, b.g) AS gb, score, row_number() OVER (PARTITION BY least(a.g, b.g), greatest(a.g, b.g) ORDER BY score DESC, l, r) AS p FROM prs JOIN g a ON a.id = l JOIN g b ON b.id = r WHERE a.g <> b.g) SELECT ga, gb, round(avg(score), 6) AS strength, count(*) AS links FROM b WHERE p <= 3 GROUP BY 1, 2")
 def cl_group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL55, CL56, CL59 (their native part)."""
+    """CL55 and CL56, their native part."""
     g = items(spark, sf_dir).select("id", F.concat_ws("_", "dataset", F.col("label").cast("string")).alias("g"))
     return W.cross_links(g, g, pairs(spark, sf_dir), 3, "id", "g")
 
@@ -566,7 +554,7 @@ def mt_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mt_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MT21-25, MT35: shape and agreement at every cut of one hierarchy."""
+    """Shape and agreement with labels at every cut of one hierarchy."""
     e = items(spark, sf_dir)
     cuts = cl_linkage_sweep(spark, sf_dir).join(e.select("id", "label"), "id")
     metrics = P.pair_metrics(cuts, "label", "cluster", ["dataset", "threshold"])
@@ -708,17 +696,10 @@ def rv_cluster_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.cluster_delta(e, e.withColumn("label", F.col("label") % 4), ["dataset"], "label")
 
 
-@query("""WITH b AS (SELECT CASE WHEN n_chars <= 500 THEN 0 WHEN n_chars <= 1500 THEN 1 WHEN n_chars <= 4000 THEN 2 END AS bin, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 0 AND n_chars <= 4000)
+@query("""WITH b AS (SELECT CASE WHEN n_chars <= 500 THEN 0 WHEN n_chars <= 1500 THEN 1 WHEN n_chars <= 4000 THEN 2 ELSE 3 END AS bin, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 0)
 SELECT t.bin::BIGINT AS bin, count(b.bin) AS rows, count(quality) AS reviewed, round(avg(quality), 6) AS match_rate FROM range(4) t(bin) LEFT JOIN b ON b.bin = t.bin GROUP BY 1""")
 def rv_bin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RV22, RV23, RV26: the last bin is empty, as the SQL has it; rv_bin_rates_whole counts all documents."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("n_chars <= 4000")
-    return W.bin_rates(d, "n_chars", "quality", [0, 500, 1500, 4000, 100000]).withColumn("bin", F.col("bin").cast("bigint"))
-
-
-@query()
-def rv_bin_rates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RV22, RV23, RV26 over all documents: the last bin is open."""
+    """RV22, RV23, RV26: the last bin is open."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return W.bin_rates(d, "n_chars", "quality", [0, 500, 1500, 4000, float("inf")]).withColumn("bin", F.col("bin").cast("bigint"))
 

@@ -214,7 +214,7 @@ def jn_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_returnflag AS view, l_linestatus AS dataset, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2)
 SELECT b.dataset, round(b.q, 6) AS q_other, round(a.q, 6) AS q_baseline, round(b.q - a.q, 6) AS q_delta, round(b.d - a.d, 6) AS d_delta FROM m a JOIN m b ON a.dataset = b.dataset AND a.view = 'N' AND b.view = 'R'""")
 def jn_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN16-20."""
+    """JN16-18, JN20."""
     m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("view"), F.col("l_linestatus").alias("dataset")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
     out = J.deltas(m.where("view = 'N'"), m.where("view = 'R'"), ["dataset"], ["q", "d"])
     return out.select("dataset", *[F.round(c, 6).alias(c) for c in ("q_other", "q_baseline", "q_delta", "d_delta")])

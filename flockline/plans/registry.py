@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flockline.plans import identity, prepare  # noqa: F401  they register their queries
+from flockline.plans import identity, prepare, workflow  # noqa: F401  they register their queries
 from flockline.plans.catalog import QUERIES, SQL, Query
 
 

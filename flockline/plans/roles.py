@@ -43,14 +43,6 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplies as constraints between parts and suppliers' buckets: l, r, constraint_type, support."""
-    li = table(spark, sf_dir, "lineitem")
-    pair = li.select((F.col("l_partkey") % 400).alias("l"), (F.col("l_suppkey") % 40 + 1000).alias("r"), "l_returnflag", "l_quantity").where("l % 10 = r % 10")
-    g = pair.groupBy("l", "r").agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
-    return g.select("l", "r", F.when(2 * F.col("returns") > F.col("support"), "cannot_link").otherwise("must_link").alias("constraint_type"), "support")
-
-
-def whole_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All supplies as constraints between parts (even ids) and suppliers (odd ids): l, r, constraint_type, support."""
     li = table(spark, sf_dir, "lineitem")
     g = li.groupBy((2 * F.col("l_partkey")).alias("l"), (2 * F.col("l_suppkey") + 1).alias("r")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
@@ -78,8 +70,7 @@ CASE WHEN quality IS NOT NULL THEN source || '_' || quality::VARCHAR ELSE '' END
 FROM documents LEFT JOIN labels USING (doc_id))"""
 JDG = """jdg AS (SELECT *, least(l::VARCHAR, r::VARCHAR) || '|' || greatest(l::VARCHAR, r::VARCHAR) AS pair_key FROM (SELECT event_id AS judgment_id, ts, user_id AS l, json_extract_string(props, '$.k')::BIGINT + 1000 AS r,
 CASE WHEN event_type IN ('purchase', 'signup') THEN 'yes' WHEN event_type = 'error' THEN 'no' ELSE 'uncertain' END AS label, value FROM events))"""
-REG = """reg AS (SELECT l, r, CASE WHEN 2 * count(*) FILTER (WHERE l_returnflag = 'R') > count(*) THEN 'cannot_link' ELSE 'must_link' END AS constraint_type, count(*) AS support
-FROM (SELECT l_partkey % 400 AS l, l_suppkey % 40 + 1000 AS r, l_returnflag FROM lineitem) WHERE l % 10 = r % 10 GROUP BY l, r)"""
+WREG = """wreg AS (SELECT 2 * l_partkey AS l, 2 * l_suppkey + 1 AS r, CASE WHEN 2 * count(*) FILTER (WHERE l_returnflag = 'R') > count(*) THEN 'cannot_link' ELSE 'must_link' END AS constraint_type, count(*) AS support FROM lineitem GROUP BY 1, 2)"""
 
 
 def comp_sql(nodes: str, edges: str, name: str = "comp", node: str = "id") -> str:

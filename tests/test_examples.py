@@ -238,7 +238,38 @@ def test_whole_registry_and_bins(spark):
     from flockline.plans import identity, roles
 
     sf = "/root/testdata/sf0.01"
-    assert identity.rv_bin_rates_whole(spark, sf).groupBy().sum("rows").first()[0] == roles.table(spark, sf, "documents").where("n_chars > 0").count()
+    assert identity.rv_bin_rates(spark, sf).groupBy().sum("rows").first()[0] == roles.table(spark, sf, "documents").where("n_chars > 0").count()
     pairs = roles.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().count()
-    assert identity.cl_constraint_agreement_whole(spark, sf).first().pairs == pairs
-    assert identity.cl_constraints_whole(spark, sf).count() > 0
+    assert identity.cl_constraint_agreement(spark, sf).first().pairs == pairs
+    few = spark.createDataFrame([(1.0, 1), (30.0, 0)], "x double, y int")
+    assert [(r.bin, r.rows) for r in review.bin_rates(few, "x", "y", [0, 10, 20, 40]).orderBy("bin").collect()] == [(0, 1), (1, 0), (2, 1)]
+
+
+def test_fresh_clusters(spark):
+    members = spark.createDataFrame([(i, i % 2) for i in range(8)], "id long, cluster long")
+    links = spark.createDataFrame([(0, 1), (2, 3), (3, 4)], "l long, r long")
+    found, stats = graphs.constrained_components(members, links, links.limit(0))
+    out = graphs.relabelled(members, found, stats, "id", "cluster").collect()
+    assert {r.id: r.final for r in out} == {0: 3, 1: 3, 2: 2, 3: 2, 4: 2, 5: 1, 6: 0, 7: 1}
+
+
+def test_unique_pairs(spark):
+    rows = [(2, 1, 0.5, 20, 10), (1, 2, 0.7, 10, 20), (3, 3, 0.9, 5, 5), (4, 3, 0.2, 40, 30)]
+    found = ranking.unique_pairs(spark.createDataFrame(rows, "q long, nbr long, score double, q_points int, nbr_points int"), ["points"], [F.desc("score")])
+    assert sorted((r.l, r.r, r.score, r.l_points, r.r_points) for r in found.collect()) == [(1, 2, 0.7, 10, 20), (3, 4, 0.2, 30, 40)]
+
+
+def test_feature_sets():
+    assert scores.feature_columns("basic") == scores.FEATURES["base"]
+    assert scores.feature_columns("dual_view_v1")[-1] == "dual_cross_mean"
+    with pytest.raises(ValueError, match="no feature set"):
+        scores.feature_columns("other")
+
+
+def test_pair_classifier(spark):
+    from flockline.operators import classify
+
+    rows = spark.createDataFrame([(i, i + 1, (i * 37 % 100) / 100, None if i % 9 == 0 else i % 7, int(i * 37 % 100 > 60)) for i in range(400)], "l long, r long, a double, b int, same int")
+    for most in (20_000, 150):
+        out = classify.probabilities(classify.fitted(rows, ["a", "b"], "same", ["l", "r"], most), rows, ["a", "b"]).collect()
+        assert len(out) == 400 and sum((r.probability > 0.5) == (r.same == 1) for r in out) > 390
