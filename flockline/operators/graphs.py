@@ -52,6 +52,20 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", left: str =
     raise RuntimeError("the components did not settle")
 
 
+def components_by(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "id") -> DataFrame:
+    """keys, node, component: of the graph of each key, all in the same rounds. nodes and edges have the keys."""
+    inside = nodes.select(F.struct(*keys, node).alias("__n"))
+    ends = edges.select(*[F.struct(*keys, F.col(end).alias(node)).alias(end) for end in "lr"])
+    return components(inside, ends, "__n").select("__n.*", F.col(f"component.{node}").alias("component"))
+
+
+def cuts(nodes: DataFrame, pairs: DataFrame, thresholds: tuple[float, ...], node: str = "id", score: str = "score") -> DataFrame:
+    """threshold, node, component: of the graph of pairs at or above each threshold."""
+    each = F.array(*[F.lit(t) for t in thresholds])
+    edges = pairs.select("l", "r", score, F.explode(each).alias("threshold")).where(F.col(score) >= F.col("threshold"))
+    return components_by(nodes.select(node, F.explode(each).alias("threshold")), edges, ["threshold"], node)
+
+
 def adjacency(pairs: DataFrame, threshold: float, k: int | None = None, mutual: bool = False, score: str = "score") -> DataFrame:
     """q, nbr, score of neighbours at or above the threshold; the k best of each, both ways only if ``mutual``."""
     out = mirrored(pairs.where(F.col(score) >= threshold).select("l", "r", score))

@@ -191,8 +191,7 @@ def cl_graph_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL31, CL32, CL36: components over several base clusters, their scores inside, and at how many thresholds the same set appears."""
     e, p = items(spark, sf_dir), pairs(spark, sf_dir)
     base = e.select("id", F.concat_ws("_", "dataset", (F.col("label") % 5).cast("string")).alias("base"))
-    cuts = [G.components(e, p.where(F.col("score") >= t)).withColumn("threshold", F.lit(t)) for t in CUTS]
-    return G.graph_merges(reduce(DataFrame.unionByName, cuts), base, p, "id", "base")
+    return G.graph_merges(G.cuts(e, p, CUTS), base, p, "id", "base")
 
 
 # --- proxies, grids --------------------------------------------------------------------------------------
@@ -216,8 +215,8 @@ round(0.45 * seed.rand + 0.35 * mutual_keep + 0.20 * recall - 0.002 * abs(cluste
 def mt_proxy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MT21-24: without labels, at every threshold: shape, agreement with seeds and an anchor partition, pairs kept, proxy. Labels here are components."""
     e, p = items(spark, sf_dir), pairs(spark, sf_dir, CUTS[0])
-    cuts = [G.components(e, p.where(F.col("score") >= t)).withColumn("threshold", F.lit(t)) for t in CUTS]
-    return proxies(spark, sf_dir, reduce(DataFrame.unionByName, cuts), cuts[1].select("id", F.col("component").alias("anchor")), ["threshold"])
+    cuts = G.cuts(e, p, CUTS)
+    return proxies(spark, sf_dir, cuts, cuts.where(F.col("threshold") == CUTS[1]).select("id", F.col("component").alias("anchor")), ["threshold"])
 
 
 def proxies(spark: SparkSession, sf_dir: str, labels: DataFrame, anchor: DataFrame, keys: list[str]) -> DataFrame:
@@ -231,15 +230,16 @@ def proxies(spark: SparkSession, sf_dir: str, labels: DataFrame, anchor: DataFra
 @query()
 def mt_method_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MT25: candidates of score tables, methods and thresholds, ranked by proxy; its rows are those of mt_proxy_sweep's operator."""
-    e, rows = items(spark, sf_dir), []
+    e, edges = items(spark, sf_dir), []
     for half in "ab":
-        p = V.pair_scores(route(spark, sf_dir, half), least=0.4)
+        p = V.pair_scores(route(spark, sf_dir, half), least=0.4).select("l", "r", "score")
+        best = R.ranked(R.mirrored(p), 1, [F.desc("score"), F.col("nbr")]).select(F.col("q").alias("l"), F.col("nbr").alias("r"), "score")
         for t in (0.4, 0.5):
-            at = p.where(F.col("score") >= t)
-            for method, found in (("components", G.components(e, at)), ("first_neighbour", G.first_neighbour_components(e, at, t))):
-                rows.append(found.withColumn("candidate", F.lit(f"{half}_{method}_{t}")))
+            edges += [x.where(F.col("score") >= t).select("l", "r", F.lit(f"{half}_{method}_{t}").alias("candidate")) for method, x in (("components", p), ("first_neighbour", best))]
+    names = [f"{half}_{method}_{t}" for half in "ab" for method in ("components", "first_neighbour") for t in (0.4, 0.5)]
+    labels = G.components_by(e.select("id", F.explode(F.array(*[F.lit(n) for n in names])).alias("candidate")), reduce(DataFrame.unionByName, edges), ["candidate"])
     anchor = G.components(e, pairs(spark, sf_dir, CUTS[1])).withColumnRenamed("component", "anchor")
-    return R.placed(proxies(spark, sf_dir, reduce(DataFrame.unionByName, rows), anchor, ["candidate"]), [F.desc("proxy"), F.col("cluster_delta"), F.col("largest"), F.col("candidate")])
+    return R.placed(proxies(spark, sf_dir, labels, anchor, ["candidate"]), [F.desc("proxy"), F.col("cluster_delta"), F.col("largest"), F.col("candidate")])
 
 
 @query()
