@@ -358,7 +358,9 @@ def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = members.select(place(F.col("sig")).alias("place"), kind(F.col("sig")).alias("kind"), "class", "component", "active")
     useful = members.groupBy("place").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_or("kind").alias("kinds"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     useful = useful.filter(f"any and x < y and kinds in ({WHOLE}, {FULL | LESS})").select("place", "blocks")
-    rows = members.join(useful, "place").join(sets.select("class", "size", "parity"), "class")
+    # Written, so that the shuffles that found these rows are gone before sizes and parities travel with them.
+    meeting = written(members.join(useful, "place"), "join-useful")
+    rows = meeting.join(sets.select("class", "size", "parity"), "class")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "kind", "active", "class", "component", "size", "parity")
 
@@ -397,7 +399,9 @@ def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield compared(rest)
 
     pairs = rows.repartition("place", "p", "q").sortWithinPartitions("place", "p", "q").mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-crossed")
+    discard(meeting)
+    return out
 
 
 def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,19 +451,21 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["key", "class", "n_shingles", "sigs"])
 
     schema = StructType([rows.schema["key"], StructField("class", BinaryType()), StructField("n_shingles", LongType()), StructField("sigs", ArrayType(LongType()))])
-    measured = written(rows.mapInArrow(sign, schema), "join-signed")
+    signatures = written(rows.mapInArrow(sign, schema), "join-signed")
+    measured = written(signatures.drop("sigs"), "join-measured")
     # A class goes by the first 60 bits of its digest here; classes that share them share candidates, no more.
     name = F.conv(F.substring(F.hex("class"), 1, 15), 16, 10).cast("long")
     classes = written(measured.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("first")).withColumn("name", name), "join-classes")
     sig = F.col("sig")
-    signed = measured.select(F.explode("sigs").alias("sig"), name.alias("name")).select(place(sig).alias("place"), kind(sig).cast("byte").alias("kind"), "name")
+    signed = signatures.select(F.explode("sigs").alias("sig"), name.alias("name")).select(place(sig).alias("place"), kind(sig).cast("byte").alias("kind"), "name")
     meets = f"kinds in ({WHOLE}, {FULL | LESS})"
     twice = written(signed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds")).filter(f"n > 1 and {meets}").select("place"), "join-twice")
     # Copies in different tasks, and a set's own neighbours, count too; here they go.
     met = written(signed.join(twice.hint("shuffle_hash"), "place").distinct(), "join-met")
+    discard(signatures, twice)
     real = met.groupBy("place").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("place")
     members = written(met.join(real, "place", "left_semi").join(classes, "name").select("place", F.col("place").bitwiseOR(F.col("kind").cast("long")).alias("sig"), "class"), "join-members")
-    discard(twice, met)
+    discard(met)
     wanted = written(members.select("class").distinct(), "join-wanted")
     size = 1 << int(np.clip(wanted.count() * MARKS_EACH, 1 << 10, MARKS_MOST)).bit_length() - 1
     with shuffles_removed(spark):
@@ -486,12 +492,21 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
             yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", "size", "parity"])
 
     sets = written(rows.mapInArrow(pack, "class binary, shingles binary, size long, parity binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "join-sets")
+    def across(found: DataFrame) -> DataFrame:
+        """The pairs that are left, of what each set is looked up by."""
+        looked = written(allotted(found, sets, percent), "join-allotted")
+        discard(found)
+        pairs = cross_pairs(looked.join(placed, "class"), sets, percent)
+        discard(looked)
+        return pairs
+
     least = members.groupBy("place").agg(F.min("class").alias("a"))
     tried = written(members.join(least, "place").filter("a < class").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "join-tried")
     links = written(verified(tried, sets, percent), "join-links")
     placed = written(components(wanted, links, "class"), "join-components")
     open_ = between(members, placed)
-    for step in (stars, lambda rows: cross_pairs(allotted(rows, sets, percent).join(placed, "class"), sets, percent)):
+    discard(members, wanted)
+    for step in (stars, across):
         if open_.isEmpty():
             break
         pairs = written(step(open_).join(tried, ["a", "b"], "left_anti"), "join-pairs")
@@ -499,9 +514,12 @@ def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
         tried = tried.union(pairs)
         if not new.isEmpty():
             links = links.union(new)
-            placed = contracted(placed, new)
+            before, placed = placed, contracted(placed, new)
+            discard(before)
             if step is stars:
-                open_ = between(open_.select("place", "sig", "class"), placed)
+                before, open_ = open_, between(open_.select("place", "sig", "class"), placed)
+                discard(before)
+    discard(sets)
     least = placed.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
     ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = classes.join(placed.join(least, "component").select("class", "component_id"), "class", "left").join(ends, "class", "left")

@@ -742,6 +742,31 @@ def test_family_of_a_thousand(spark):
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 1, 90)
 
 
+def test_join_drops_tables_it_no_longer_reads(spark, monkeypatch):
+    """Signatures are gone before values are allotted, and only what the result reads is left."""
+    live, then = {}, []
+    put, gone, ran = segjoin.written, segjoin.discard, segjoin.cross_pairs
+
+    def written(df, label):
+        out = put(df, label)
+        live[out.written_to] = label
+        return out
+
+    def discard(*tables):
+        for t in tables:
+            live.pop(t.written_to, None)
+        gone(*tables)
+
+    monkeypatch.setattr(segjoin, "written", written)
+    monkeypatch.setattr(segjoin, "discard", discard)
+    monkeypatch.setattr(segjoin, "cross_pairs", lambda *rest: then.extend(live.values()) or ran(*rest))
+    rows = [(i, " ".join(f"w{(i * 7 + k * (1 + i % 3)) % 60}" for k in range(40))) for i in range(60)]
+    found = segjoin.joined(spark.createDataFrame(rows, "doc_id long, text string"), 80, 1)
+    assert then and not {"join-signed", "join-members", "join-between"} & set(then)
+    assert not {"join-signed", "join-sets", "join-allotted", "join-useful"} & set(live.values())
+    assert many((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows, 1, 80)
+
+
 def test_bands():
     for percent in (80, 90):
         b = segjoin.Bands(percent)
