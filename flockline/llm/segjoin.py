@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from flockline.llm.common import discard, shuffles_removed, written
+from flockline.llm.common import arrow_rows, discard, shuffles_removed, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A candidate pair costs about as much as so many signatures: it travels four times with 32 bytes and more, a signature once with 16.
@@ -49,6 +49,10 @@ MARKS_EACH, MARKS_MOST = 16, 1 << 28
 
 #: Classes of a signature that meet in one task with as many others.
 BLOCK = 4096
+#: Rows of places with the same least component that go to one task, and pairs that a task holds to find repeats (8 MB).
+SHARE, HELD = 1 << 15, 1 << 18
+#: Rows that go to Python at once.
+ROWS = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -348,29 +352,51 @@ def two_words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
 
 
+def as_names(words: np.ndarray) -> pa.Array:
+    """Rows of two numbers as 16-byte names."""
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.arange(0, 16 * len(words) + 1, 16, dtype=np.int32)), pa.py_buffer(words.tobytes())])
+
+
+def without_repeats(pairs: np.ndarray) -> np.ndarray:
+    """Pairs, as rows of four numbers, once each: one number brings equal rows together, and whole rows are compared."""
+    with np.errstate(over="ignore"):
+        at = np.zeros(len(pairs), np.uint64)
+        for column in pairs.T:
+            at = mixed(at + column)
+    pairs = pairs[np.argsort(at)]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))[: len(pairs)]]
+
+
 def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b of classes of different components that meet in a signature that at least one of them is looked up by, as far as sizes and parities allow them; members: sig, class, component, active.
 
     The classes of a place are compared where they are, so that only pairs that pass
     become rows. A place of many classes is dealt to blocks of about BLOCK, and each
-    two blocks meet in a task of their own.
+    two blocks meet in a task of their own. Two sets that are almost similar meet in
+    most of their segments: places go to tasks by their least component, which such
+    places mostly share, and a task makes each pair one row. Components that are the
+    least in places of more than SHARE rows are dealt to so many tasks more.
     """
     members = members.select(place(F.col("sig")).alias("place"), kind(F.col("sig")).alias("kind"), "class", "component", "active")
-    useful = members.groupBy("place").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_or("kind").alias("kinds"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    useful = useful.filter(f"any and x < y and kinds in ({WHOLE}, {FULL | LESS})").select("place", "blocks")
+    useful = members.groupBy("place").agg(F.max("active").alias("any"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_or("kind").alias("kinds"), F.count(F.lit(1)).alias("n"))
+    places = written(useful.filter(f"any and x < y and kinds in ({WHOLE}, {FULL | LESS})").select("place", "x", "n"), "join-places")
+    # At most a row for SHARE rows of members.
+    large = places.groupBy("x").agg(F.sum("n").alias("rows")).filter(F.col("rows") > SHARE).select("x", F.ceil(F.col("rows") / SHARE).alias("shares"))
+    useful = places.join(F.broadcast(large), "x", "left")
+    deal = F.xxhash64("x", F.pmod(F.xxhash64("place"), F.coalesce("shares", F.lit(1))))
     # Written, so that the shuffles that found these rows are gone before sizes and parities travel with them.
-    meeting = written(members.join(useful, "place"), "join-useful")
+    meeting = written(members.join(useful.select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), deal.alias("deal")), "place"), "join-useful")
     rows = meeting.join(sets.select("class", "size", "parity"), "class")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "kind", "active", "class", "component", "size", "parity")
+    rows = rows.select("deal", "place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "kind", "active", "class", "component", "size", "parity")
 
-    def compared(t: pa.Table) -> pa.RecordBatch:
+    def compared(t: pa.Table) -> Iterator[np.ndarray]:
         at, p, q, own, kinds, active, size = (t.column(c).to_numpy() for c in ("place", "p", "q", "own", "kind", "active", "size"))
-        component, bits = two_words(t.column("component")), np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, 8)
+        name, component, bits = two_words(t.column("class")), two_words(t.column("component")), np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, 8)
         new = np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
         starts = np.append(np.flatnonzero(new), len(at))
         end = starts[np.cumsum(new)]
-        i, k, found = np.arange(len(at)), 0, []
+        i, k = np.arange(len(at)), 0
         while True:
             k += 1
             i = i[i + k < end[i]]
@@ -382,29 +408,51 @@ def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             fit = (component[x] != component[y]).any(1) & (np.minimum(size[x], size[y]) * 100 >= percent * np.maximum(size[x], size[y]))
             x, y = x[fit], y[fit]
             fit = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= (100 - percent) * (size[x] + size[y]) // (100 + percent)
-            found.append(np.stack([x[fit], y[fit]]))
-        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([t.column("class").combine_chunks().take(pa.array(x)) for x in both], ["a", "b"])
+            x, y = x[fit], y[fit]
+            back = (name[x, 0] > name[y, 0]) | (name[x, 0] == name[y, 0]) & (name[x, 1] > name[y, 1])
+            yield np.concatenate([name[np.where(back, y, x)], name[np.where(back, x, y)]], 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             last = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("place", "p", "q")]) if t.num_rows else np.zeros(0, bool)
             cut = int(np.argmax(last)) if t.num_rows else 0
             if cut:
-                yield compared(t.slice(0, cut))
+                yield from compared(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
-            yield compared(rest)
+            yield from compared(rest)
 
-    pairs = rows.repartition("place", "p", "q").sortWithinPartitions("place", "p", "q").mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [np.zeros((0, 4), np.uint64)], 0
+        for pairs in found(batches):
+            if not len(pairs):
+                continue
+            held.append(pairs)
+            n += len(pairs) + 4  # an array weighs something itself
+            if n > HELD:
+                held = [without_repeats(np.concatenate(held))]
+                n = len(held[0])
+                if n > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([as_names(held[0][:, :2]), as_names(held[0][:, 2:])], ["a", "b"])
+                    held, n = [held[0][:0]], 0
+        last = without_repeats(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([as_names(last[:, :2]), as_names(last[:, 2:])], ["a", "b"])
+
+    pairs = rows.repartition("deal", "p", "q").sortWithinPartitions("deal", "place", "p", "q").mapInArrow(run, "a binary, b binary")
     out = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-crossed")
-    discard(meeting)
+    discard(meeting, places)
     return out
 
 
 def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``linked``, with few rows at once between Spark and Python: a row may be a long text or its whole set."""
+    with arrow_rows(docs.sparkSession, ROWS):
+        return linked(docs, percent, shingle, key, text)
+
+
+def linked(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: ``key``, n_shingles, component_id, and verified_links: its class's verified links to others.
 
     Two documents link when 100 * intersection >= percent * union of their sets of

@@ -742,6 +742,43 @@ def test_family_of_a_thousand(spark):
     assert many((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 1, 90)
 
 
+def made_by_arrow(spark):
+    """Rows that MapInArrow has made in each execution so far, by execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, made = store.executionsList(), {}
+    for id in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(id).allNodes(), store.executionMetrics(id)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if "MapInArrow" in node.name() else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made[id] = made.get(id, 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+@pytest.mark.parametrize(("share", "held"), [(1 << 15, 1 << 18), (40, 16)])
+def test_pairs_that_meet_often_become_few_rows(spark, monkeypatch, share, held):
+    """Sets just below the threshold meet in most of their segments; none is lost, and a task makes each pair one row."""
+    monkeypatch.setattr(segjoin, "SHARE", share, raising=False)
+    monkeypatch.setattr(segjoin, "HELD", held, raising=False)
+    draw, bands = np.random.default_rng(4), segjoin.Bands(80)
+    base = draw.integers(0, 2**64, 400, np.uint64)
+    sets = [np.unique(np.append(np.delete(base, draw.choice(400, 23, False)), draw.integers(0, 2**64, 23, np.uint64))) for _ in range(14)]
+    names = [bytes([i + 1]) * 16 for i in range(len(sets))]
+    members = [(int(v), bytearray(n), bytearray(n), True) for s, n in zip(sets, names, strict=True) for v in set(segjoin.indexed(s, bands).tolist())]
+    fit = {(a, b) for a in range(14) for b in range(a + 1, 14) if np.bitwise_count(np.frombuffer(segjoin.parity(sets[a]), np.uint8) ^ np.frombuffer(segjoin.parity(sets[b]), np.uint8)).sum() <= 20 * (len(sets[a]) + len(sets[b])) // 180}
+    at = [{sig for sig, n, *_ in members if n == name} for name in names]
+    meetings = sum(len(at[a] & at[b]) for a, b in fit)
+    before = set(made_by_arrow(spark))
+    kept = spark.createDataFrame([(bytearray(n), len(s), bytearray(segjoin.parity(s))) for n, s in zip(names, sets, strict=True)], "class binary, size long, parity binary")
+    found = segjoin.cross_pairs(spark.createDataFrame(members, "sig long, class binary, component binary, active boolean"), kept, 80)
+    assert many((names.index(bytes(r.a)), names.index(bytes(r.b))) for r in found.collect()) == many(fit)
+    made = sum(n for id, n in made_by_arrow(spark).items() if id not in before)
+    assert len(fit) > 50 and len(fit) <= made
+    if share > 40:
+        assert 5 * made < meetings
+
+
 def test_join_drops_tables_it_no_longer_reads(spark, monkeypatch):
     """Signatures are gone before values are allotted, and only what the result reads is left."""
     live, then = {}, []
