@@ -29,7 +29,7 @@ verified, so verified_links is a lower bound of a class's links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import floor, log
 
 import numpy as np
@@ -53,6 +53,8 @@ BLOCK = 4096
 SHARE, HELD = 1 << 15, 1 << 18
 #: Rows that go to Python at once.
 ROWS = 1024
+#: Parts of the signatures' places that are shuffled one after another.
+SLICES = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -446,6 +448,16 @@ def cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def meeting(signed: DataFrame) -> DataFrame:
+    """Distinct signatures (place, kind, name) of places in which two names meet.
+
+    One shuffle by place brings copies from different tasks together, counts and joins."""
+    once = signed.repartition("place").distinct()
+    real = once.groupBy("place").agg(F.min("name").alias("x"), F.max("name").alias("y"), F.bit_or("kind").alias("kinds"))
+    real = real.filter(f"x < y and kinds in ({WHOLE}, {FULL | LESS})").select("place")
+    return once.join(real.hint("shuffle_hash"), "place", "left_semi")
+
+
 def joined(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``linked``, with few rows at once between Spark and Python: a row may be a long text or its whole set."""
     with arrow_rows(docs.sparkSession, ROWS):
@@ -461,8 +473,9 @@ def linked(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     class, whose least key stands for it; only classes are joined.
 
     1. One pass over the texts gives sizes, digests and signatures, each class's once
-       a task. Signatures are counted; those that are there twice name the classes
-       that a second pass writes the sets of.
+       a task. They meet by slices of their places, so that the disk holds the shuffle
+       of one slice at a time; those of two classes name the classes that a second
+       pass writes the sets of.
     2. Each class is verified on the whole sets with the least one that it shares a
        signature with; that gives components. Then, where a signature still joins
        different components, the least class of each with the least of all. A group of
@@ -506,14 +519,10 @@ def linked(docs: DataFrame, percent: int = 90, shingle: int = 3, key: str = "doc
     classes = written(measured.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("first")).withColumn("name", name), "join-classes")
     sig = F.col("sig")
     signed = signatures.select(F.explode("sigs").alias("sig"), name.alias("name")).select(place(sig).alias("place"), kind(sig).cast("byte").alias("kind"), "name")
-    meets = f"kinds in ({WHOLE}, {FULL | LESS})"
-    twice = written(signed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds")).filter(f"n > 1 and {meets}").select("place"), "join-twice")
-    # Copies in different tasks, and a set's own neighbours, count too; here they go.
-    met = written(signed.join(twice.hint("shuffle_hash"), "place").distinct(), "join-met")
-    discard(signatures, twice)
-    real = met.groupBy("place").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x < y").select("place")
-    members = written(met.join(real, "place", "left_semi").join(classes, "name").select("place", F.col("place").bitwiseOR(F.col("kind").cast("long")).alias("sig"), "class"), "join-members")
-    discard(met)
+    met = [written(meeting(signed.filter(F.pmod(F.shiftright("place", 2), F.lit(SLICES)) == k)), "join-met") for k in range(SLICES)]
+    discard(signatures)
+    members = written(reduce(DataFrame.union, met).join(classes, "name").select("place", F.col("place").bitwiseOR(F.col("kind").cast("long")).alias("sig"), "class"), "join-members")
+    discard(*met)
     wanted = written(members.select("class").distinct(), "join-wanted")
     size = 1 << int(np.clip(wanted.count() * MARKS_EACH, 1 << 10, MARKS_MOST)).bit_length() - 1
     with shuffles_removed(spark):
